@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from meldframe.llm.shared import bounded_batches, free_name, require
+from meldframe.llm.shared import bounded_batches, require
 
 #: Pieces kept encoded between batches; the cache starts anew beyond that.
 CACHE_PIECES = 1 << 20
@@ -272,12 +272,12 @@ def _int_lists(rows: list[np.ndarray]) -> pa.Array:
 def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, *, ids: str = "ids") -> DataFrame:
     """``df`` with the array column ``ids``: the token ids of the whole text. No shuffle.
 
-    A NULL or empty text gives an empty array. Other columns pass unchanged; ``ids`` must be a new name.
+    A NULL or empty text gives an empty array. Other columns pass unchanged; an input column
+    named like ``ids`` is replaced.
     Every executor must be able to open ``ranks_path`` (for instance a file shipped with the job).
     """
     require(df, text)
-    if free_name(ids, df.columns) != ids:
-        raise ValueError(f"column {ids} exists")
+    df = df.drop(ids)
     bounded_batches(df.sparkSession)
     at = df.columns.index(text)
 
@@ -293,10 +293,9 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, *, ids: str
 
 def decode(df: DataFrame, ids: str, ranks_path: str, *, data: str = "decoded") -> DataFrame:
     """``df`` with the binary column ``data``: the bytes of the ids. No shuffle. NULL ids give NULL bytes;
-    an id outside the vocabulary is an error."""
+    an input column named like ``data`` is replaced; an id outside the vocabulary is an error."""
     require(df, ids)
-    if free_name(data, df.columns) != data:
-        raise ValueError(f"column {data} exists")
+    df = df.drop(data)
     bounded_batches(df.sparkSession)
     at = df.columns.index(ids)
 

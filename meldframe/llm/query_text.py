@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldframe.llm import bpe, simhash
+from meldframe.llm import bpe, quality, simhash
 
 #: The rank file and pattern of op8 come from this package; the operators take them as parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -33,5 +33,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    rules = quality.learned(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge(documents, "text", rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
+
+
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}

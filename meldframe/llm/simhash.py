@@ -56,11 +56,10 @@ def fingerprints(df: DataFrame, text: str, *, fingerprint: str = "fingerprint",
 
     The whole text counts; with fewer words than a shingle the whole sequence is one. NULL, empty and
     blank texts have fingerprint 0.
+    An input column named like ``fingerprint`` is replaced.
     """
     require(df, text)
-    kept = [f for f in df.schema.fields if f.name != text]
-    if free_name(fingerprint, [f.name for f in kept]) != fingerprint:
-        raise ValueError(f"column {fingerprint} exists")
+    kept = [f for f in df.schema.fields if f.name not in (text, fingerprint)]
     bounded_batches(df.sparkSession)
     data = df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text).cast("binary").alias(free_name("_data", df.columns)))
 
@@ -117,8 +116,7 @@ def classes(marked: DataFrame, identifier: str, fingerprint: str = "fingerprint"
     ``marked`` is read more than once: pass a written table.
     """
     require(marked, identifier, fingerprint)
-    if component in marked.columns:
-        raise ValueError(f"column {component} exists")
+    marked = marked.drop(component)
     own = marked.groupBy(F.col(fingerprint).alias("_f")).agg(F.min(identifier).alias("_first"))
     roots = components(links(own.select(F.col("_f").alias("fingerprint"))))
     rooted = own.join(roots, F.col("_f") == F.col("node"), "left").select("_f", "_first", F.coalesce("root", "_f").alias("_root"))
