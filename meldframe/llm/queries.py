@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this subpackage with QUERIES and ORACLES.
-_MODULES = ("query_text",)
+_MODULES = ("query_text", "query_records")
 
 
 def _modules():
