@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldframe.llm import chat
+from meldframe.llm import chat, warc
+from meldframe.llm.shared import scratch_path, written
 
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -27,9 +28,23 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    folder = scratch_path(spark, "warc")
+    archives = written(warc.write_archives(warc.chunks(warc.decide(pages, "page_id", "html", "url")), folder), "archives")
+    read = warc.read_chunks(warc.spread(spark, archives), folder, with_data=False)
+    return read.where("last").select(
+        F.col("record").alias("page_id"),
+        "payload_bytes",
+        F.when(F.col("record_type") == "response", F.col("digest_so_far")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 _ESCAPED = r"""regexp_replace(regexp_replace(replace({0}, '\', '\\'), '(<)(\||s>|/s>|<SYS>>|</SYS>>|SYS>>|/SYS>>)', '\1\\\2', 'g'), '(\[)(INST\]|/INST\])', '\1\\\2', 'g')"""
 
-QUERIES = {"op3_chat_format": op3_chat_format}
+QUERIES = {"op3_chat_format": op3_chat_format, "op4_warc": op4_warc}
 
 ORACLES = {
     "op3_chat_format": f"""
@@ -44,4 +59,15 @@ ORACLES = {
             sum({len(chat.TURN + chat.TEXT + chat.END)} + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}))::BIGINT AS formatted_chars
         FROM turns GROUP BY conv_id
     """,
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+            SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+                min(page_id) OVER (PARTITION BY html) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND first <> page_id THEN first END AS refers_to
+        FROM d
+    """,
 }

@@ -29,10 +29,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; Spark's file system removes it when the driver's JVM ends."""
-    path = f"{checkpoint_dir(spark)}/meldframe-{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/meldframe-{name}-{uuid.uuid4().hex}")
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(hadoop)
+    path = files.makeQualified(hadoop).toString()
+    return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def delete_scratch(spark: SparkSession, path: str) -> None:
