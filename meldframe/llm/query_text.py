@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldframe.llm import bpe, quality, simhash
+from meldframe.llm import bpe, pii, quality, simhash
 
 #: The rank file and pattern of op8 come from this package; the operators take them as parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,5 +39,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, "text", rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(_documents(spark, sf_dir), "text").drop("text")
+    plain = F.filter("pii", lambda x: ~x["disguised"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(plain, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
+QUERIES = {"op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
