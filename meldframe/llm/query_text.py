@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldframe.llm import bpe, pii, quality, simhash
+from meldframe.llm import bpe, language, pii, quality, simhash
 
 #: The rank file and pattern of op8 come from this package; the operators take them as parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -48,5 +48,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
 
 
-QUERIES = {"op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    profiles = language.train(documents.where(remainder != 1), "text", "lang")
+    predicted = language.identify(documents.select("doc_id", "text"), "text", profiles)
+    return predicted.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op5_language": op5_language, "op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
