@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldframe.llm import bpe, language, pii, quality, simhash
+from meldframe.llm import bpe, language, lines, pii, quality, simhash
 
 #: The rank file and pattern of op8 come from this package; the operators take them as parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,5 +56,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op5_language": op5_language, "op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    drops = lines.line_drops(documents, "doc_id", "text").withColumnRenamed("doc_id", "own_id")
+    everything = documents.select("doc_id", F.xxhash64("text").alias("mark"))
+    joined = everything.join(drops, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("text_mark")), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select("doc_id", count("n_equal"), count("n_near"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"))
+
+
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op5_language": op5_language, "op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
