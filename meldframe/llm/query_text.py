@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldframe.llm import bpe, language, lines, pii, quality, simhash
+from meldframe.llm import bpe, decontaminate, language, lines, pii, quality, simhash
 
 #: The rank file and pattern of op8 come from this package; the operators take them as parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,5 +65,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", count("n_equal"), count("n_near"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"))
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op5_language": op5_language, "op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(_documents(spark, sf_dir), "doc_id", "text", benchmark, "item_id", "text")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op5_language": op5_language, "op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
