@@ -1,0 +1,111 @@
+"""Unigram scores against a vocabulary that no task or driver has to hold.
+
+Texts are taken in blocks of bounded size, wherever they lie. A block lists each of its words once and
+keeps of its texts only the numbers of their words in that list. The words' counts in the corpus are
+summed by key and brought back to the blocks that asked for them. So what is shuffled are a block's
+distinct words, not all words; a word that is in every text has one row for each block.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
+from uuid import uuid4
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from meldframe.llm.shared import bounded_batches, require, written
+
+#: A block ends at so many words in all, or so many different ones.
+BLOCK_WORDS = 1 << 22
+BLOCK_KINDS = 1 << 18
+
+_SCHEMA = "block long, doc long, mark long, held boolean, n_words long, ids binary, times binary, word string, number int, n long"
+
+
+def _blocks(documents: DataFrame) -> DataFrame:
+    """Rows of texts (``word`` is NULL) and of words, from ``doc, mark, held, data``."""
+    fields = [("block", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("held", pa.bool_()), ("n_words", pa.int64()), ("ids", pa.binary()), ("times", pa.binary()), ("word", pa.string()), ("number", pa.int32()), ("n", pa.int64())]
+    schema = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fresh() -> tuple:
+            return uuid4().int >> 65, defaultdict(count().__next__), [], [0]
+
+        def rows(state: tuple) -> Iterator[pa.RecordBatch]:
+            block, number, texts, _ = state
+            n = len(number)
+            trained = np.zeros(n, np.int64)
+            for _, _, held, _, ids, times in texts:
+                if not held:
+                    trained[ids] += times
+            for at in range(0, len(texts), 500):
+                some = texts[at : at + 500]
+                doc, mark, held, words, ids, times = zip(*some, strict=True)
+                packed = [i.astype(np.uint32).tobytes() for i in ids], [t.astype(np.uint32).tobytes() for t in times]
+                columns = [[block] * len(some), doc, mark, held, words, *packed, *([None] * len(some) for _ in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            words = list(number)
+            for at in range(0, n, 50_000):
+                some = [w.decode("utf-8", "replace") for w in words[at : at + 50_000]]
+                k = len(some)
+                columns = [pa.array([block] * k, pa.int64()), *(pa.nulls(k, f.type) for f in list(schema)[1:7]), pa.array(some, pa.string()), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(trained[at : at + k])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        state = fresh()
+        for batch in batches:
+            for doc, mark, held, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, number, texts, size = state
+                words = (data or b"").lower().split()
+                ids, times = np.unique(np.fromiter(map(number.__getitem__, words), np.int64), return_counts=True)
+                texts.append((doc, mark, held, len(words), ids, times))
+                size[0] += len(words)
+                if size[0] > BLOCK_WORDS or len(number) > BLOCK_KINDS:
+                    yield from rows(state)
+                    state = fresh()
+        if state[2]:
+            yield from rows(state)
+
+    return documents.select("doc", "mark", "held", "data").mapInArrow(run, _SCHEMA)
+
+
+def score(documents: DataFrame, identifier: str, text: str, held_out: Column) -> DataFrame:
+    """``identifier, text_mark, held_out, n_tokens, n_known, train_tokens, base_score``, learned from the rows that
+    aren't held out: add-one unigram log10 probabilities of the lower-case words and one end.
+
+    The whole text counts; NULL, empty and blank texts are just an end. ``text_mark`` is the text's xxhash64. A row
+    for each row of ``documents``; without training rows all scores are 0.
+    """
+    require(documents, identifier, text)
+    bounded_batches(documents.sparkSession)
+    own = F.col(f"`{text}`")
+    rows = documents.select(F.col(f"`{identifier}`").cast("long").alias("doc"), F.xxhash64(own).alias("mark"), held_out.alias("held"), own.cast("binary").alias("data"))
+    table = written(_blocks(rows), "blocks")
+    texts = table.where("word is null").select(F.col("block").alias("own_block"), "doc", "mark", "held", "n_words", "ids", "times")
+    words = table.where("word is not null").select("block", "word", "number", "n").repartition("word")
+    counts = written(words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    ends = texts.where("not held").count()
+    n, v = int(total) + ends, int(kinds) + (ends > 0)
+    asked = words.join(counts, "word").select("block", "number", "c")
+    kind = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64())])
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = np.zeros(right.num_rows, np.int64)
+        known[right["number"].to_numpy()] = right["c"].to_numpy()
+        logs = np.log10((known + 1) / (n + v + 1))
+        known_at_all, scores = [], []
+        for ids, times in zip(left["ids"].to_pylist(), left["times"].to_pylist(), strict=True):
+            i, t = np.frombuffer(ids, np.uint32), np.frombuffer(times, np.uint32)
+            scores.append(float((logs[i] * t).sum() + np.log10((ends + 1) / (n + v + 1))))
+            known_at_all.append(int(t[known[i] > 0].sum()) + (ends > 0))
+        n_tokens = pa.array(left["n_words"].to_numpy() + 1)
+        columns = [left["doc"], left["mark"], left["held"], n_tokens, pa.array(known_at_all, pa.int64()), pa.array(scores, pa.float64())]
+        return pa.Table.from_arrays(columns, schema=kind)
+
+    done = texts.groupBy("own_block").cogroup(asked.groupBy("block")).applyInArrow(finish, "doc long, mark long, held boolean, n_tokens long, n_known long, base_score double")
+    return done.select(F.col("doc").alias(identifier), F.col("mark").alias("text_mark"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score")
