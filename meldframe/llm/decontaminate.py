@@ -231,8 +231,18 @@ def leaks(documents: DataFrame, identifier: str, text: str, benchmark: DataFrame
     return result
 
 
-def clean(documents: DataFrame, identifier: str, text: str, benchmark: DataFrame, item: str, item_text: str) -> DataFrame:
-    """``documents`` without those that hold a benchmark item; rows with a NULL identifier are judged by their own text."""
-    found = leaks(documents.withColumn(identifier, F.coalesce(identifier, F.xxhash64(text))), identifier, text, benchmark, item, item_text)
-    gone = found.select(F.col(identifier).alias("_leak")).distinct()
-    return documents.join(gone, F.coalesce(documents[identifier], F.xxhash64(documents[text])) == gone["_leak"], "left_anti")
+def clean(documents: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, *, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``documents`` without the rows whose text holds a benchmark item. Each row is judged by its own text, in the
+    same pass that reads it; NULL and empty texts stay. No shuffle."""
+    require(documents, text), require(benchmark, item, item_text)
+    bounded_batches(documents.sparkSession)
+    at = documents.columns.index(text)
+    for rows in blocks(benchmark, item, item_text, block_chars=block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            block, templates = Block.build(rows), _templates()
+            for batch in batches:
+                yield batch.filter(pa.array([not block.leaks(templates, x or "") for x in batch.column(at).to_pylist()], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

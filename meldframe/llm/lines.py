@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,6 +26,9 @@ THRESHOLD = 2
 #: Shorter lines, in code points without outer white space, are never dropped.
 LEAST_CHARS = 40
 _LOCAL_LINES = 1 << 18
+#: A substitution changes two pairs of neighbours into two others.
+SIGN_BITS = 4
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def edit_distance_within(a: str, b: str, most: int) -> bool:
@@ -128,6 +132,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def signatures(lines: list[str]) -> list[int]:
+    """For each line of two characters or more, which of 64 classes of neighbouring characters it holds an odd
+    number of times: an edit changes at most ``SIGN_BITS`` of them."""
+    if not lines:
+        return []
+    codes = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    classes = (codes[:-1] * _MIX[0] + codes[1:] * _MIX[1]) >> np.uint64(58)
+    bits = np.uint64(1) << classes
+    starts = np.cumsum([0] + [len(x) + 1 for x in lines[:-1]])
+    bits[starts[1:] - 2] = bits[starts[1:] - 1] = 0  # those with the line feed between two lines
+    return np.bitwise_xor.reduceat(bits, starts).view(np.int64).tolist()
+
+
 def lines_of(text: str | None, least: int = LEAST_CHARS) -> Iterator[tuple[int, str]]:
     """Number and stripped text of each line that is long enough to be judged."""
     for number, line in enumerate((text or "").split("\n")):
@@ -163,36 +180,39 @@ def _mapped(df: DataFrame, names: list[str], rows, schema: str) -> DataFrame:
 def near_pairs(documents: DataFrame, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
     """``a1, a2, b1, b2``: the 128-bit identities of each two different lines within ``threshold`` edits."""
 
-    def keys():
-        seen: set[int] = set()
-
-        def of(value: str | None) -> Iterator[tuple[int, int]]:
-            # A line met again in the same task adds nothing; the set only spares work and starts anew when large.
-            if len(seen) > _LOCAL_LINES:
-                seen.clear()
-            for _, line in lines_of(value, least):
-                mark = _identity(line)[0]
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                for key in index_keys(line, threshold):
-                    yield _signed(key), mark & ~1
-                for key in probe_keys(line, threshold):
-                    yield _signed(key), mark | 1
-
-        return of
-
-    rows = _mapped(documents, [text], keys, "key long, mark long").repartition("key").dropDuplicates(["key", "mark"])
-    index = rows.where("mark & 1 = 0").select("key", F.col("mark").alias("a"))
-    probes = rows.where("mark & 1 = 1").select("key", (F.col("mark").bitwiseXOR(F.lit(1))).alias("b"))
-    pairs = index.join(probes, "key").where("a <> b").select("a", "b").distinct()
+    def keys(of_line, name: str) -> DataFrame:
+        def rows():
+            seen: set[int] = set()
+
+            def of(value: str | None) -> Iterator[tuple[int, int, int]]:
+                # A line met again in the same task adds nothing; the set only spares work and starts anew when large.
+                if len(seen) > _LOCAL_LINES:
+                    seen.clear()
+                new = []
+                for _, line in lines_of(value, least):
+                    mark = _identity(line)[0]
+                    if mark not in seen:
+                        seen.add(mark)
+                        new.append((mark, line))
+                for (mark, line), signature in zip(new, signatures([x for _, x in new]), strict=True):
+                    for key in of_line(line, threshold):
+                        yield _signed(key), mark, signature
+
+            return of
+
+        found = _mapped(documents, [text], rows, f"key long, {name} long, {name}_sign long")
+        return found.repartition("key").dropDuplicates(["key", name])
+
+    near = F.bit_count(F.col("a_sign").bitwiseXOR(F.col("b_sign"))) <= SIGN_BITS * threshold
+    met = keys(index_keys, "a").join(keys(probe_keys, "b"), "key")
+    pairs = met.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     pairs = written(pairs, "pairs")
 
     def texts():
         def of(value: str | None) -> Iterator[tuple[int, int, int, str]]:
             for _, line in lines_of(value, least):
                 high, low = _identity(line)
-                yield high & ~1, high, low, line
+                yield high, high, low, line
 
         return of
 

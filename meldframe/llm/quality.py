@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meldframe.llm.shared import free_name, require
+from meldframe.llm.shared import free_name, require, written
 
 #: Fixed values of the measures: white space, symbols, words of a window, and the base rule.
 SPACE = " \t\n\x0b\f\r"
@@ -72,7 +73,7 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
     repeated = F.expr(
         f"aggregate({n('at')}, struct(0L AS n, {-WINDOW} AS last), (a, p) -> struct(a.n + least({WINDOW}, p - a.last) AS n, p AS last), a -> a.n)"
     )
-    return step.select(
+    counted = step.select(
         *kept,
         F.size(names["words"]).cast("long").alias("n_words"),
         F.length(F.concat_ws("", F.col(n("words")))).cast("long").alias("word_chars"),
@@ -80,6 +81,8 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
         (F.size(names["lines"]) - F.size(F.array_distinct(F.col(n("lines"))))).cast("long").alias("n_dup_lines"),
         F.coalesce(repeated, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # Filters aren't pushed below an observation: pushed down, a test of a count would compute the arrays anew.
+    return counted.observe(f"texts-{uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
@@ -213,4 +216,4 @@ def learned(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", tex
     """The list learned from ``labels``, whose ``label`` is 1 for good documents."""
     chosen = labels.select(key, (F.col(label) == 1).alias("good"))
     sample = labelled_sample(documents.select(key, text), chosen, key, max_rows=max_rows)
-    return fit(text_counts(sample, text).drop(text), "good", key)
+    return fit(written(text_counts(sample, text).drop(text), "labelled"), "good", key)

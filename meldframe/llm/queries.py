@@ -16,7 +16,9 @@ def _modules():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for m in _modules() for name, query in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: query for m in _modules() for name, query in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

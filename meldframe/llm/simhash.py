@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,17 +109,22 @@ def links(distinct: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
     return met.join(hubs, "z").where("f <> hub").select(F.col("f").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def _roots(marked: DataFrame, fingerprint: str, *firsts) -> DataFrame:
+    """``_f, _root`` and the aggregates ``firsts`` for each distinct fingerprint of ``marked``."""
+    own = marked.groupBy(F.col(fingerprint).alias("_f")).agg(*firsts)
+    found = components(links(own.select(F.col("_f").alias("fingerprint"))))
+    return own.join(found, F.col("_f") == F.col("node"), "left").drop("node").withColumn("_root", F.coalesce("root", "_f")).drop("root")
+
+
 def classes(marked: DataFrame, identifier: str, fingerprint: str = "fingerprint", *, component: str = "component_id") -> DataFrame:
     """``marked`` with the smallest identifier reachable over links of at most two differing bits, itself included.
 
     Equal fingerprints are one class. A NULL identifier is never the smallest; a class of NULLs has NULL.
-    ``marked`` is read more than once: pass a written table.
+    An input column named like the component is replaced. ``marked`` is read more than once: pass a written table.
     """
     require(marked, identifier, fingerprint)
     marked = marked.drop(component)
-    own = marked.groupBy(F.col(fingerprint).alias("_f")).agg(F.min(identifier).alias("_first"))
-    roots = components(links(own.select(F.col("_f").alias("fingerprint"))))
-    rooted = own.join(roots, F.col("_f") == F.col("node"), "left").select("_f", "_first", F.coalesce("root", "_f").alias("_root"))
+    rooted = _roots(marked, fingerprint, F.min(identifier).alias("_first"))
     smallest = rooted.groupBy("_root").agg(F.min("_first").alias(component))
     table = rooted.join(smallest, "_root").select("_f", component)
     return marked.join(table, F.col(fingerprint) == F.col("_f"), "left").drop("_f")
@@ -132,3 +137,19 @@ def near_duplicate_classes(df: DataFrame, identifier: str, text: str, *, compone
     """
     marked = written(fingerprints(df.select(identifier, text), text, words=words), "fingerprints")
     return classes(marked, identifier, component=component)
+
+
+def keep_one(df: DataFrame, identifier: str, text: str, *, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``df`` with one row of each class: that of the smallest identifier, NULL last, and where that repeats, of the
+    smallest hash of the text. One of rows that repeat both stays. Only these keys are shuffled for the
+    decision; the rows themselves move once, by their key."""
+    require(df, identifier, text)
+    names = [free_name(n, df.columns) for n in ("_unknown", "_doc", "_mark", "_turn")]
+    own = (F.col(f"`{identifier}`").isNull(), F.coalesce(F.col(f"`{identifier}`"), F.lit(0)), F.xxhash64(F.col(f"`{text}`").cast("string")))
+    keyed = df.withColumns(dict(zip(names, own, strict=False)))
+    key = names[:3]
+    marked = written(fingerprints(keyed.select(*key, text), text, words=words), "fingerprints")
+    rooted = _roots(marked, "fingerprint", F.min(F.struct(*key)).alias("_first"))
+    keepers = rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select(*(F.col(f"_first.{n}").alias(n) for n in key))
+    once = Window.partitionBy(*key).orderBy(names[2])
+    return keyed.join(keepers, key, "left_semi").withColumn(names[3], F.row_number().over(once)).where(F.col(names[3]) == 1).select(*(F.col(f"`{c}`") for c in df.columns))

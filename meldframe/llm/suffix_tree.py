@@ -86,17 +86,20 @@ class Tree:
     nodes: list[np.ndarray]
     logs: np.ndarray
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """The longest node for each context of three bytes, and which contexts have longer nodes."""
+    def tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The longest node of at most three bytes for each three bytes, and by depth from three on which
+        contexts (of three bytes, and from four on by their place in ``keys``) have longer nodes."""
         table = np.zeros(1, np.int32)
         for depth in range(1, 4):
             table = np.tile(table, 256)
             table[self.keys[depth]] = self.nodes[depth]
-        longer = np.zeros(1 << 24, bool)
-        longer[self.keys[4] & 0xFFFFFF] = True
+        longer = [np.zeros(1 << 24, bool)]
+        longer[0][self.keys[4] & 0xFFFFFF] = True
+        for depth in range(4, DEPTH):
+            longer.append(np.isin(self.keys[depth], self.keys[depth + 1] & ((1 << 8 * depth) - 1)))
         return table, longer
 
-    def score(self, tables: tuple[np.ndarray, np.ndarray], texts: list[bytes]) -> list[float]:
+    def score(self, tables: tuple[np.ndarray, list[np.ndarray]], texts: list[bytes]) -> list[float]:
         """The log10 probability of each byte sequence."""
         if not texts:
             return []
@@ -105,11 +108,17 @@ class Tree:
         table, longer = tables
         short = context & 0xFFFFFF
         node = table[short]
-        if len(self.keys[4]):
-            deep = np.flatnonzero(longer[short])
-            at = np.minimum(np.searchsorted(self.keys[4], context[deep]), len(self.keys[4]) - 1)
-            hit = self.keys[4][at] == context[deep]
-            node[deep[hit]] = self.nodes[4][at[hit]]
+        deep = np.flatnonzero(longer[0][short])
+        for depth in range(4, DEPTH + 1):
+            if not len(deep):
+                break
+            wanted = context[deep] & ((1 << 8 * depth) - 1)
+            at = np.minimum(np.searchsorted(self.keys[depth], wanted), len(self.keys[depth]) - 1)
+            hit = self.keys[depth][at] == wanted
+            deep, at = deep[hit], at[hit]
+            node[deep] = self.nodes[depth][at]
+            if depth < DEPTH:
+                deep = deep[longer[depth - 3][at]]
         starts = np.concatenate([[0], np.cumsum([len(b) for _, b in coded])[:-1]])
         return np.add.reduceat(self.logs[node, byte].astype(np.float64), starts).tolist()
 
