@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now, path = following, following_path
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            every = now.union(now.select(F.col("v").alias("u"), "v"))
+            return every.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         mark = seen
 
 
