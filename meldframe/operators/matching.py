@@ -93,8 +93,8 @@ def fuzzy_match(
     """The best match by edit distance of each left row that has one; every candidate with ``keep_all_candidates``.
 
     Rows meet if they agree in ``block_on``, or without it in their first two normalized characters; NULL
-    never agrees. The length difference that ``threshold`` and ``max_distance`` allow bounds the distance,
-    so that it is given up early. Ties go to the smaller right identifier.
+    never agrees. Texts whose lengths differ by more than ``threshold`` and ``max_distance`` allow are not
+    compared. Ties go to the smaller right identifier.
     """
     _check(threshold, min_chars)
     blocks = as_list(block_on)

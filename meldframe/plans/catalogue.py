@@ -105,11 +105,22 @@ def fuzzy_all(spark, sf_dir):
     return _rounded(fuzzy_match(names, names, left_on="name", right_on="name", left_id="name", right_id="name", threshold=0.6, keep_all_candidates=True))
 
 
-@query(f"WITH {_PAIRS.format('AND left_id <> right_id AND d <= 6').replace('FROM n a JOIN n b', 'FROM (SELECT * FROM n WHERE length(name) % 2 = 0) a JOIN (SELECT * FROM n WHERE length(name) % 2 = 1) b')} SELECT {_MATCH} FROM ranked WHERE match_rank = 1")
+@query(f"""
+    WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+    p AS (
+        SELECT a.name AS left_id, b.name AS right_id, levenshtein({_NORM.format('a.name')}, {_NORM.format('b.name[:-2]')}) AS d,
+            1.0 - levenshtein({_NORM.format('a.name')}, {_NORM.format('b.name[:-2]')}) / greatest(length({_NORM.format('a.name')}), length({_NORM.format('b.name[:-2]')}))::DOUBLE AS s
+        FROM n a JOIN n b ON substring({_NORM.format('a.name')}, 1, 2) = substring({_NORM.format('b.name[:-2]')}, 1, 2)
+    )
+    SELECT left_id, right_id, d AS distance, round(s, 6) AS score FROM p WHERE s >= 0.6 AND d <= 6
+    QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY s DESC, d, right_id) = 1
+""")
 def fuzzy_best(spark, sf_dir):
+    """Each name against all names without their last letter."""
     names = _names(spark, sf_dir)
-    even, odd = names.where("length(name) % 2 = 0"), names.where("length(name) % 2 = 1")
-    return _rounded(fuzzy_match(even, odd, left_on="name", right_on="name", left_id="name", right_id="name", threshold=0.6, max_distance=6))
+    short = names.withColumn("cut", F.expr("substring(name, 1, length(name) - 1)"))
+    found = fuzzy_match(names, short, left_on="name", right_on="cut", left_id="name", right_id="name", threshold=0.6, max_distance=6)
+    return found.select("left_id", "right_id", F.col("match_distance").cast("long").alias("distance"), F.round("match_score", 6).alias("score"))
 
 
 @query(f"""
@@ -204,16 +215,19 @@ def lsh_pairs(spark, sf_dir):
 
 
 def _target(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
 def _source(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    """Every order, of which a third under a key that is new to the target."""
+    key = F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").select(key.alias("o_orderkey"), "o_custkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
 
 
-_SIDES = """
-    t AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 4 <> 0),
-    s AS (SELECT o_orderkey, o_custkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0)"""
+_SOURCE_KEY = "CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey"
+_SIDES = f"""
+    t AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders),
+    s AS (SELECT {_SOURCE_KEY}, o_custkey, o_totalprice * 2 AS o_totalprice FROM orders)"""
 
 
 @query(f"WITH {_SIDES} SELECT s.o_orderkey, s.o_custkey, s.o_totalprice, t.o_orderstatus FROM s LEFT JOIN t USING (o_orderkey)")
@@ -262,12 +276,12 @@ def cdf_collapse(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_FEED}, t AS (SELECT c_custkey AS user_id, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0)
+    WITH {_FEED}, t AS (SELECT c_custkey AS user_id, c_acctbal AS value FROM customer)
     SELECT coalesce(c.user_id, t.user_id) AS user_id, CASE WHEN c.user_id IS NULL THEN t.value ELSE c.value END AS value
     FROM t FULL JOIN c ON c.user_id = t.user_id WHERE c.change_type IS DISTINCT FROM 'delete'
 """)
 def cdf_apply(spark, sf_dir):
-    target = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
     return merge.result_of(merge.change_plan(target, merge.collapse_changes(_feed(spark, sf_dir), ["user_id"]), ["user_id"]))
 
 
@@ -287,7 +301,7 @@ def sync_decisions(spark, sf_dir):
     return spark.createDataFrame([(*g, *decide(*g)) for g in grid], "last int, dst boolean, current int, mode string, recorded int")
 
 
-_TEXTS = {"part": ("p_name", "p_brand", "p_type"), "customer": ("c_name", "c_mktsegment"), "orders": ("o_orderstatus", "o_orderpriority"), "nation": ("n_name",), "region": ("r_name",), "supplier": ("s_name",), "events": ("event_type", "props")}
+_TEXTS = {"part": ("p_name", "p_brand", "p_type"), "customer": ("c_name", "c_mktsegment"), "orders": ("o_orderstatus", "o_orderpriority"), "nation": ("n_name",), "region": ("r_name",), "supplier": ("s_name",), "lineitem": ("l_returnflag", "l_linestatus"), "conversations": ("role",), "pages": ("url",), "events": ("event_type", "props")}
 
 
 @query(
@@ -300,7 +314,7 @@ _TEXTS = {"part": ("p_name", "p_brand", "p_type"), "customer": ("c_name", "c_mkt
 def keyword_search(spark, sf_dir):
     found = spark.createDataFrame([], SEARCH)
     for name in _TEXTS:
-        found = found.unionByName(keyword_hits(table(spark, sf_dir, name), name, "ER"))
+        found = found.unionByName(keyword_hits(table(spark, sf_dir, name), name, "ER", columns=_TEXTS[name]))
     return found.select("table_name", "column_name", "match_count", F.element_at("sample_values", 1).alias("sample"))
 
 
@@ -335,22 +349,25 @@ def partitioned_round_trip(spark, sf_dir):
     return _round_trip(spark, events, f"{_scratch(spark)}/events.parquet", partition_by="event_type")
 
 
-@query("SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
-def versioned_upsert(spark, sf_dir):
+def _versioned(spark, sf_dir):
+    """A versioned table of all orders, into which ``_source`` was merged."""
     path = f"{_scratch(spark)}/orders"
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    Output(path, "versioned").write(orders)
-    Output(path, mode="merge", merge_on="o_orderkey").write(orders.where("o_orderkey % 3 <> 0").withColumn("o_totalprice", F.col("o_totalprice") * 2))
-    return Input(path, spark=spark).dataframe()
+    Output(path, "versioned").write(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    Output(path, mode="merge", merge_on="o_orderkey").write(_source(spark, sf_dir))
+    return path
 
 
-@query("SELECT kind AS _change_type, count(*) AS n FROM orders, (VALUES ('update_preimage'), ('update_postimage')) AS k(kind) WHERE o_orderkey % 3 <> 0 GROUP BY 1")
+@query(f"WITH {_SIDES} SELECT * FROM s UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)")
+def versioned_upsert(spark, sf_dir):
+    return Input(_versioned(spark, sf_dir), spark=spark).dataframe()
+
+
+@query(f"""
+    WITH {_SIDES}, m AS (SELECT s.o_orderkey, t.o_orderkey IS NOT NULL AS known FROM s LEFT JOIN t USING (o_orderkey))
+    SELECT kind AS _change_type, count(*) AS n FROM m, (VALUES ('update_preimage', true), ('update_postimage', true), ('insert', false)) AS k(kind, of) WHERE known = of GROUP BY 1
+""")
 def versioned_changes(spark, sf_dir):
-    path = f"{_scratch(spark)}/orders"
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    Output(path, "versioned").write(orders)
-    Output(path, mode="merge", merge_on="o_orderkey").write(orders.where("o_orderkey % 3 <> 0").withColumn("o_totalprice", F.col("o_totalprice") * 2))
-    return merge.read_cdf(path, 1, spark=spark).groupBy("_change_type").agg(F.count("*").alias("n"))
+    return merge.read_cdf(_versioned(spark, sf_dir), 1, spark=spark).groupBy("_change_type").agg(F.count("*").alias("n"))
 
 
 @query()
