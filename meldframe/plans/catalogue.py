@@ -43,7 +43,7 @@ def _scratch(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder; a temporary one only for a local session without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         base = f"file://{tempfile.mkdtemp(prefix='meldframe-')}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/meldframe-{uuid.uuid4().hex}")
