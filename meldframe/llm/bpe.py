@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from meldframe.llm.shared import bounded_batches, require
 
 #: Pieces kept encoded between batches; the cache starts anew beyond that.
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 18
 #: Bytes of text whose pieces are encoded together.
 GROUP_BYTES = 1 << 21
 #: Pieces of more bytes than this have a matrix of their own, of one row.

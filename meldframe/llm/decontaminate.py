@@ -36,7 +36,7 @@ COVERAGE = 0.5
 #: Windows whose diagonals differ by at most this are one candidate: so many words may be added or left out.
 DRIFT = 3
 BLOCK_CHARS = 16 << 20
-_CACHE_WORDS = 1 << 20
+_CACHE_WORDS = 1 << 18
 
 _NUMBER = re.compile(r"[+-]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?\Z", re.IGNORECASE)
 _MEASURED = re.compile(r"([0-9][0-9.,]*)([A-Za-z°]+)\Z")
