@@ -82,28 +82,32 @@ def embedding(fingerprint: Column) -> Column:
 
 
 def _cells(point: Column) -> Column:
-    """The point, and the points at Manhattan distance 1 that are bit counts of some fingerprint."""
-    near = [point]
+    """The point, and the points at Manhattan distance 1 that are bit counts of some fingerprint: each with the
+    segment that changes, or -1, and by how much."""
+    near = [F.struct(point.alias("cell"), F.lit(-1).alias("segment"), F.lit(0).alias("by"))]
     for i in range(16):
         count = F.shiftrightunsigned(point, 4 * i).bitwiseAND(F.lit(15))
-        near.append(F.when(count < 4, point + F.lit(1 << 4 * i)))
-        near.append(F.when(count > 0, point - F.lit(1 << 4 * i)))
-    return F.array(*near)
+        near.append(F.when(count < 4, F.struct((point + F.lit(1 << 4 * i)).alias("cell"), F.lit(i).alias("segment"), F.lit(1).alias("by"))))
+        near.append(F.when(count > 0, F.struct((point - F.lit(1 << 4 * i)).alias("cell"), F.lit(i).alias("segment"), F.lit(-1).alias("by"))))
+    return F.filter(F.array(*near), lambda x: x.isNotNull())
 
 
-def _neighbours(fingerprint: str) -> Column:
-    """The fingerprint and its 64 one-bit neighbours."""
-    return F.expr(f"concat(array({fingerprint}), transform(sequence(0, 63), i -> {fingerprint} ^ shiftleft(1L, i)))")
+#: The fingerprints within one bit of ``f`` that lie in the cell: ``f`` itself in its own, else ``f`` with one bit of
+#: the segment set or cleared.
+_NEIGHBOURS = (
+    "CASE WHEN segment < 0 THEN array(f) ELSE transform(filter(sequence(segment * 4, segment * 4 + 3), "
+    "i -> (shiftrightunsigned(f, i) & 1L) = CASE WHEN by > 0 THEN 0L ELSE 1L END), i -> f ^ shiftleft(1L, i)) END"
+)
 
 
 def links(distinct: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
     """``a, b``: edges between distinct fingerprints, each within two differing bits, whose components are
     those of all such pairs."""
     points = distinct.select(F.col(fingerprint).alias("f")).withColumn("p", embedding(F.col("f")))
-    cells = points.select("f", F.explode(_cells(F.col("p"))).alias("cell")).where("cell is not null")
+    cells = points.select("f", F.explode(_cells(F.col("p"))).alias("c")).select("f", "c.cell", "c.segment", "c.by")
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     candidates = cells.join(shared, "cell", "left_semi")
-    met = candidates.select("f", "cell", F.explode(_neighbours("f")).alias("z")).where(embedding(F.col("z")) == F.col("cell")).select("f", "z")
+    met = candidates.select("f", F.explode(F.expr(_NEIGHBOURS)).alias("z"))
     met = written(met, "met")
     hubs = met.groupBy("z").agg(F.min("f").alias("hub"), F.count("*").alias("n")).where("n > 1").select("z", "hub")
     return met.join(hubs, "z").where("f <> hub").select(F.col("f").alias("a"), F.col("hub").alias("b")).distinct()
