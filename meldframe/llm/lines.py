@@ -26,6 +26,8 @@ THRESHOLD = 2
 #: Shorter lines, in code points without outer white space, are never dropped.
 LEAST_CHARS = 40
 _LOCAL_LINES = 1 << 18
+#: Bits of the filter ahead of the join that fetches candidates' texts.
+BITMAP = 1 << 26
 #: A substitution changes two pairs of neighbours into two others.
 SIGN_BITS = 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -208,15 +210,21 @@ def near_pairs(documents: DataFrame, text: str, *, threshold: int = THRESHOLD, l
     pairs = met.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     pairs = written(pairs, "pairs")
 
+    wanted = written(pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).distinct(), "wanted")
+    maybe = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
     def texts():
+        bits = maybe.value
+
         def of(value: str | None) -> Iterator[tuple[int, int, int, str]]:
             for _, line in lines_of(value, least):
                 high, low = _identity(line)
-                yield high, high, low, line
+                at = high & (BITMAP - 1)
+                if int(bits[at >> 6]) >> (at & 63) & 1:
+                    yield high, high, low, line
 
         return of
 
-    wanted = pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).distinct()
     found = _mapped(documents, [text], texts, "mark long, high long, low long, line string")
     found = written(found.join(wanted, "mark", "left_semi").dropDuplicates(["high", "low"]), "lines")
     side = lambda s: found.select(F.col("mark").alias(s), F.col("high").alias(f"{s}1"), F.col("low").alias(f"{s}2"), F.col("line").alias(f"{s}_line"))
@@ -232,6 +240,16 @@ def near_pairs(documents: DataFrame, text: str, *, threshold: int = THRESHOLD, l
     return _mapped(both, both.columns, check, "a1 long, a2 long, b1 long, b2 long")
 
 
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """``BITMAP`` bits, set for the low bits of each mark: a filter of fixed size ahead of the exact join. Words
+    are put together by key, and the driver gets at most one row a word."""
+    at = F.col("mark").bitwiseAND(F.lit(BITMAP - 1))
+    words = wanted.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(mark & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table, bits = words.toArrow(), np.zeros(BITMAP >> 6, np.int64)
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return bits
+
+
 def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
     """``identifier, text_mark, line, near``: the lines that go; ``near`` is false for those equal to an earlier line.
 
@@ -277,15 +295,18 @@ def line_drops(documents: DataFrame, identifier: str, text: str, **options) -> D
     )
 
 
-def dedup_lines(documents: DataFrame, identifier: str, text: str, *, drop_emptied: bool = True, **options) -> DataFrame:
+def dedup_lines(documents: DataFrame, identifier: str, text: str, *, chars: str | None = None, drop_emptied: bool = True, **options) -> DataFrame:
     """``documents`` without the lines of ``dropped_lines``. With ``drop_emptied``, a document that loses lines and
-    keeps no word goes too. Other documents and columns stay as they are, NULL and empty texts too."""
+    keeps no word goes too. ``chars`` names a column of text lengths to keep right. Other documents and columns
+    stay as they are, NULL and empty texts too."""
     gone, mine, mark = (free_name(n, documents.columns) for n in ("_gone", "_mine", "_mark"))
     drops = line_drops(documents, identifier, text, **options).select(F.col(identifier).alias(mine), F.col("text_mark").alias(mark), F.col("dropped").alias(gone))
     own = F.col(f"`{text}`")
     joined = documents.join(drops, F.col(f"`{identifier}`").eqNullSafe(F.col(mine)) & (F.xxhash64(own.cast("string")) == F.col(mark)), "left")
     kept = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     changed = joined.withColumn(text, F.when(F.col(gone).isNotNull(), kept).otherwise(own))
+    if chars in documents.columns:
+        changed = changed.withColumn(chars, F.when(F.col(gone).isNotNull(), F.length(own).cast(documents.schema[chars].dataType)).otherwise(F.col(f"`{chars}`")))
     if drop_emptied:
         changed = changed.where(F.col(gone).isNull() | own.rlike(r"[^\x20\x09-\x0D]"))
     return changed.select(*(F.col(f"`{c}`") for c in documents.columns))
