@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meldframe.llm import resemblance
 from meldframe.llm.components import components
 from meldframe.llm.shared import bounded_batches, free_name, require, written
 
@@ -143,17 +144,25 @@ def near_duplicate_classes(df: DataFrame, identifier: str, text: str, *, compone
     return classes(marked, identifier, component=component)
 
 
-def keep_one(df: DataFrame, identifier: str, text: str, *, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``df`` with one row of each class: that of the smallest identifier, NULL last, and where that repeats, of the
-    smallest hash of the text. One of rows that repeat both stays. Only these keys are shuffled for the
-    decision; the rows themselves move once, by their key."""
+def keep_one(df: DataFrame, identifier: str, text: str, *, words: int = resemblance.WORDS, similarity: float = resemblance.SIMILARITY) -> DataFrame:
+    """``df`` with one row of each class of texts linked by a Jaccard similarity of ``similarity`` or more of their
+    shingles of ``words`` words: that of the smallest identifier, NULL last, and where that repeats, of the
+    smallest hash of the text. One of rows that repeat both stays. Texts without words are one class. The rows
+    themselves move once, by their key.
+
+    Fingerprints don't decide here: at similarity 0.8 they differ in about ten bits, and a grid of so wide a
+    radius is no filter."""
     require(df, identifier, text)
     names = [free_name(n, df.columns) for n in ("_unknown", "_doc", "_mark", "_turn")]
     own = (F.col(f"`{identifier}`").isNull(), F.coalesce(F.col(f"`{identifier}`"), F.lit(0)), F.xxhash64(F.col(f"`{text}`").cast("string")))
     keyed = df.withColumns(dict(zip(names, own, strict=False)))
     key = names[:3]
-    marked = written(fingerprints(keyed.select(*key, text), text, words=words), "fingerprints")
-    rooted = _roots(marked, "fingerprint", F.min(F.struct(*key)).alias("_first"))
-    keepers = rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select(*(F.col(f"_first.{n}").alias(n) for n in key))
+    plain = keyed.select(*(F.col(n).alias(k) for n, k in zip(key, ("unknown", "doc", "mark"), strict=True)), F.col(f"`{text}`").cast("binary").alias("data"))
+    marked = written(resemblance.prefixes(plain, "data", words=words, similarity=similarity), "prefixes")
+    firsts = written(marked.groupBy("node").agg(F.min(F.struct("unknown", "doc", "mark")).alias("first")), "firsts")
+    one = marked.join(firsts.select("node", "first.*"), ["node", "unknown", "doc", "mark"], "left_semi")
+    found = components(resemblance.links(one, plain.select("mark", "data"), words=words, similarity=similarity)).withColumnRenamed("node", "own")
+    rooted = firsts.join(found, F.col("node") == F.col("own"), "left").withColumn("root", F.coalesce("root", "node"))
+    keepers = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{k}").alias(n) for n, k in zip(key, ("unknown", "doc", "mark"), strict=True)))
     once = Window.partitionBy(*key).orderBy(names[2])
     return keyed.join(keepers, key, "left_semi").withColumn(names[3], F.row_number().over(once)).where(F.col(names[3]) == 1).select(*(F.col(f"`{c}`") for c in df.columns))

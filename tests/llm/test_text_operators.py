@@ -100,6 +100,32 @@ def test_simhash_keeps_one_of_each_class(documents, babble):
     assert simhash.keep_one(documents([]), "doc_id", "text").isEmpty()
 
 
+def test_keep_one_equals_brute_force_at_similarity(documents, babble):
+    r = random.Random(9)
+    rows = []
+    for i in range(60):  # copies of few bases with some words replaced, chains of copies of copies, and a long passage in common
+        words = babble(i % 7, 60 + i % 3 * 40).split() if i < 30 or r.random() < 0.3 else rows[r.randrange(len(rows))][1].split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = f"own{i}"
+        rows.append((100 - i, " ".join(words)))
+    rows += [(200 + i, babble(500, 40) + " " + babble(600 + i, 60)) for i in range(8)] + [(300, "a b"), (301, "A  B"), (302, "a b c")]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, t.lower().split()) for d, t in rows)}
+    linked = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = {d: d for d in sets}
+    for _ in sets:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = {r.doc_id for r in simhash.keep_one(documents(rows, extra=True), "doc_id", "text").collect()}
+    assert kept == set(root.values()) and 20 < len(kept) < len(rows) - 10
+
+
+def test_pipeline_stage_drops_a_copy_with_a_word_more(documents, spark, babble):
+    import corpus_pipeline
+
+    rows = [(4, babble(4, 70)), (31, babble(4, 70) + " more"), (5, babble(5, 70))]
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()} == {4, 5}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (300, 300), (None, 5), (-4, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
