@@ -1,7 +1,7 @@
 """Line deduplication with a segment-partition edit join.
 
-A line goes if an earlier line of the corpus, in order of document and line number, is equal to it or
-within ``threshold`` edits of it. Two lines within k edits have, of the shorter line's k+1 segments,
+A line goes if an earlier line of the corpus, in order of document and line number, is equal to it or,
+from ``least`` characters on, within ``threshold`` edits of it. Two lines within k edits have, of the shorter line's k+1 segments,
 one that stands unchanged in the longer line, shifted no further than the edits around it allow. So
 each distinct line puts its segments into an index, and looks up the substrings of its own that a line
 of each admissible length could have as segments. Candidates meet by a hash join on substring hashes
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from meldframe.llm.shared import bounded_batches, free_name, require, written
 
 THRESHOLD = 2
-#: Shorter lines, in code points without outer white space, are never dropped.
+#: Shorter lines, in code points without outer white space, have no near copies: two edits can make another line of them.
 LEAST_CHARS = 40
 _LOCAL_LINES = 1 << 18
 #: Bits of the filter ahead of the join that fetches candidates' texts.
@@ -250,10 +250,11 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
+def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
     """``identifier, text_mark, line, near``: the lines that go; ``near`` is false for those equal to an earlier line.
 
-    Of equal lines the first by identifier and line number stays, unless an earlier line is within
+    Lines of ``least_equal`` characters or more (``least`` if not given; 1 means every line that is not blank) are
+    compared for equality, those of ``least`` or more for nearness too. Of equal lines the first by identifier and line number stays, unless an earlier line is within
     ``threshold`` edits. NULL identifiers come last. ``text_mark`` is the text's xxhash64: rows that share an
     identifier are told apart by it, and whole repeated rows share their decisions.
     """
@@ -261,7 +262,7 @@ def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold
 
     def occurrences():
         def of(doc: int | None, mark: int, value: str | None) -> Iterator[tuple]:
-            for number, line in lines_of(value, least):
+            for number, line in lines_of(value, least if least_equal is None else least_equal):
                 yield doc, mark, number, *_identity(line)
 
         return of

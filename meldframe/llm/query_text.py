@@ -59,7 +59,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
-    drops = lines.line_drops(documents, "doc_id", "text").withColumnRenamed("doc_id", "own_id")
+    drops = lines.line_drops(documents, "doc_id", "text", least_equal=1).withColumnRenamed("doc_id", "own_id")
     everything = documents.select("doc_id", F.xxhash64("text").alias("mark"))
     joined = everything.join(drops, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("text_mark")), "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

@@ -301,6 +301,18 @@ def test_line_dedup_rewrites_texts(documents):
     assert lines.dedup_lines(documents([]), "doc_id", "text").isEmpty()
 
 
+def test_query_and_stage_drop_equal_short_lines(documents, spark, tmp_path):
+    import corpus_pipeline
+    from meldframe.llm.query_text import op2_line_dedup
+
+    rows = [(1, "one\n\n \nMIT License.\none"), (2, "  MIT License.\r\nMIT Licence.\ntwo\n"), (3, "}\n}"), (4, "one"), (5, None), (6, "")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_equal, r.n_near, r.dropped) for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0, "4"), 2: (1, 0, "0"), 3: (1, 0, "1"), 4: (1, 0, "0"), 5: (0, 0, ""), 6: (0, 0, "")}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, documents(rows), "").collect()}
+    assert kept == {1: "one\n\n \nMIT License.", 2: "MIT Licence.\ntwo\n", 3: "}", 5: None, 6: ""}
+
+
 QUESTION = "Alice bought 12 apples at the market for 3 dollars each. How much did Alice pay in total for the 12 apples she carried home to Boston in 2 bags?"
 
 
