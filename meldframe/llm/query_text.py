@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meldframe.llm import bpe, decontaminate, language, lines, pii, quality, simhash, suffix_tree, unigrams
-from meldframe.llm.shared import written
+from meldframe.llm import bpe, decontaminate, language, lines, pii, quality, simhash, suffix_tree
 
 #: The rank file and pattern of op8 come from this package; the operators take them as parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -72,14 +71,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _documents(spark, sf_dir)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
-    base = written(unigrams.score(documents, "doc_id", "text", F.coalesce(held, F.lit(False))), "base-scores")
-    tree = suffix_tree.fit(suffix_tree.context_counts(documents.where(~held), "text"))
-    scored = suffix_tree.score(documents.withColumn("mark", F.xxhash64("text")), "text", tree)
-    once = scored.groupBy("doc_id", "mark").agg(F.first("score").alias("score")).withColumnRenamed("doc_id", "own_id")
-    joined = base.join(once, base["doc_id"].eqNullSafe(once["own_id"]) & (F.col("text_mark") == F.col("mark")))
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return suffix_tree.score(_documents(spark, sf_dir), "doc_id", "text", held)
 
 
 QUERIES = {"op9_lm_score": op9_lm_score, "op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op5_language": op5_language, "op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +42,32 @@ def delete_scratch(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder and read again: it cuts lineage, and
-    survives the loss of executors. Nothing is computed twice."""
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with ``settings``, which get their old values back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def kept_table(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """``written``, and the table's path, for ``delete_scratch`` once it is no longer read."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with session_settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder and read again: it cuts lineage, and
+    survives the loss of executors. Nothing is computed twice, and the shuffle files go at once."""
+    return kept_table(df, name)[0]
 
 
 def bounded_batches(spark: SparkSession) -> None:

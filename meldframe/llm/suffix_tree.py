@@ -1,203 +1,390 @@
-"""Language-model scoring with a probabilistic suffix tree over bytes.
+"""Language-model scoring with a probabilistic suffix tree over words.
 
-A text is its lower-case words, joined by single spaces and ended by a line feed, as bytes. Every
-training text counts: the numbers of each byte after each context of ``DEPTH`` bytes are summed up in
-the tasks, then by key. A context stays in the tree if what follows it diverges enough from what
-follows its suffix: the gain in code length, N times the Kullback-Leibler divergence, must exceed the
-cost of its own parameters. A node's distribution is smoothed with its parent's (Witten-Bell), and a
-byte is scored by the longest context in the tree that precedes it.
+A text is its words, A-Z lower-cased, and one end. The root gives each word its add-one unigram
+probability. A context is the run of words before a word; the tree grows from its suffixes: the contexts
+one word longer than a kept one are looked at if they occur twice. In a context s of n occurrences, with
+n(a) of them followed by a and k = n - sum(max(n(a) - 1, 0)), the next word has
 
-The tree is what a task holds. It has at most ``MOST_NODES`` nodes, those of the largest gains and
-their suffixes, whatever the size of the corpus.
+    P(a | s) = max(n(a) - 1, 0) / n + k / n * P(a | suffix of s)
+
+(absolute discounting by one: what followed once is no evidence, its mass goes to the suffix). The context
+is kept if this diverges from its suffix: the training words after it must be likelier by ``LEAST_GAIN`` nats
+in all. A kept context with one follower only isn't extended: no longer one can tell more. A word is scored
+by its longest kept context. Depth and number of contexts have no limit but these tests.
+
+No task and no driver holds the tree. Texts are cut into chunks of bounded size that are written once.
+Level by level, a chunk lists its distinct (context, word) entries with their counts and sends them to
+buckets by the context's hash, in compressed arrays; a bucket sums up the counts of all chunks, tests its
+contexts, and sends each chunk the answers for its own entries, in the order asked. Contexts of very many
+occurrences are dealt to the buckets by context and word, and tested from a histogram of their counts.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from meldframe.llm.shared import bounded_batches, free_name, require, written
+from meldframe.llm.shared import delete_scratch, free_name, kept_table, require, session_settings
+
+#: A chunk has fewer positions than this; a longer text is cut into pieces, over whose bounds contexts don't reach.
+CHUNK_WORDS = (1 << 21) - 2
+#: Nats by which a context must better its suffix on what follows it in training.
+LEAST_GAIN = 2.0
+#: Entries of a bucket, about.
+BUCKET_ENTRIES = 1 << 20
+#: Occurrences from which a context is dealt out by context and word; never more than ``MOST_HOT`` such contexts a level.
+HOT, MOST_HOT = 1 << 20, 1 << 20
+#: Parent probabilities are tested in steps of a quarter bit.
+STEPS = 4
+_BITS = 21
+_LOW = (1 << _BITS) - 1
+_WORD_BITS = 40
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_END = 0x5851F42D4C957F2D
+
+_STATE = (
+    "chunk long, docs array<string>, rows array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, "
+    "words binary, ids binary, often binary, hot binary, alive binary, chances binary, asked long, salted long"
+)
+_ASKED = "bucket long, chunk long, contexts binary, followers binary, words binary, times binary, chances binary"
+_ANSWERS = "chunk long, bucket long, counts binary, totals binary, kinds binary, kept binary, h long, n long, q int, times long"
+#: Chunk rows are large: few of them in an Arrow batch or a reader's batch.
+_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20), "spark.sql.parquet.columnarReaderBatchSize": "16"}
+_OPTIONS = {"parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "2"}
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """The array's bytes by plane, compressed: planes of high bytes are mostly zeros."""
+    if not len(values):
+        return b""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.empty(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _flags(values: np.ndarray) -> bytes:
+    return _pack(np.packbits(values))
+
+
+def _unflags(data: bytes, size: int) -> np.ndarray:
+    return np.unpackbits(_unpack(data, np.uint8), count=size).astype(bool) if data else np.zeros(size, bool)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    plain = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+    kinds = plain | {f"array<{k}>": pa.list_(v) for k, v in plain.items()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+
+
+def _table(rows: list[dict], schema: str) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=_arrow(schema))
+
+
+def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each of the keys (under 2 ** 42), dense and in their order, and where each number stands first."""
+    order = np.sort(keys << _BITS | np.arange(len(keys)))
+    at, keys = order & _LOW, order >> _BITS
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    out = np.empty(len(keys), np.int64)
+    out[at] = np.cumsum(new) - 1
+    return out, at[new]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+@dataclass
+class Chunk:
+    """A row of the state, unpacked."""
 
-DEPTH = 4
-MOST_NODES = 1 << 15
-LEAST_COUNT = 16
-END, SPACE = b"\n", b" "
-_PENDING = 1 << 22
+    row: dict
 
+    def __post_init__(self) -> None:
+        self.words, self.ids = _unpack(self.row["words"], np.uint64), _unpack(self.row["ids"], np.uint32).astype(np.int64)
+        n = len(self.ids)
+        self.often, self.hot, self.alive = (_unflags(self.row[k], n) for k in ("often", "hot", "alive"))
+        self.at = np.flatnonzero(self.alive)
+        self.chances = _unpack(self.row["chances"], np.float32)
+        sizes = np.array(self.row["sizes"], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.train = ~np.array(self.row["held"], bool)[self.text]
 
-def symbols(data: bytes) -> bytes:
-    """The byte sequence of a UTF-8 text. Only A-Z change; words end at space and at \\t to \\r."""
-    return SPACE.join(data.lower().split()) + END
+    def ask(self, depth: int, buckets: int) -> Asked:
+        at, ids = self.at, self.ids
+        if depth == 0:  # the words themselves, with nothing after them: their counts are the contexts' totals
+            context, first = _dense(ids)
+            h, words = self.words[ids[first]], np.zeros(len(ids), np.int64)
+        else:
+            context, first = _dense(ids[at - 1])
+            h = self.words[ids[at[first] - 1]]
+            for back in range(2, depth + 1):
+                own = context
+                context, first = _dense(context << _BITS | ids[at - back])
+                h = _mixed(h[own[first]] ^ (self.words[ids[at[first] - back]] + np.uint64(back)))
+            words = ids[at]
+        order = np.argsort(h)
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        context, h = rank[context], h[order]
+        entry, first = _dense(context << _BITS | words)
+        own = context[first]
+        follower = self.words[ids[at[first]]] >> np.uint64(64 - _WORD_BITS) if depth else np.zeros(len(first), np.uint64)
+        salted = self.hot[at[first] - 1] if depth else np.zeros(len(first), bool)
+        key = np.where(salted, _mixed(h[own] ^ follower), h[own])
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2 + salted
+        plain, dealt = np.flatnonzero(~salted), np.flatnonzero(salted)
+        line = np.concatenate([plain, dealt[np.argsort(bucket[dealt], kind="stable")]])
+        place = np.empty(len(line), np.int64)
+        place[line] = np.arange(len(line))
+        times = np.bincount(entry, self.train[at], len(first)).astype(np.uint32)
+        chances = np.round(-STEPS * np.log2(self.chances[first])).clip(0, 255).astype(np.uint8) if depth else np.zeros(len(first), np.uint8)
+        return Asked(place[entry], h, own[line], bucket[line], follower[line], times[line], chances[line])
 
 
-def _coded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of one text the code of the ``DEPTH`` bytes before it, ends standing before the first, and the byte."""
-    a = np.frombuffer(END * DEPTH + data, np.uint8).astype(np.int64)
-    n = len(data)
-    context = np.zeros(n, np.int64)
-    for k in range(DEPTH):
-        context = (context << 8) | a[k : k + n]
-    return context, a[DEPTH:]
+@dataclass
+class Asked:
+    """The entries of a chunk, in the order of asking; ``entry`` has the number of each alive position's."""
 
+    entry: np.ndarray
+    h: np.ndarray
+    context: np.ndarray
+    bucket: np.ndarray
+    follower: np.ndarray
+    times: np.ndarray
+    chances: np.ndarray
 
-def context_counts(df: DataFrame, text: str) -> DataFrame:
-    """``code, n``: how often each byte (the lowest eight bits) follows each context of ``DEPTH`` bytes (the
-    others), over all texts of ``df``. Each task sums up its rows before the shuffle."""
-    require(df, text)
-    bounded_batches(df.sparkSession)
+    def __post_init__(self) -> None:
+        n = len(self.context)
+        new = np.ones(n, bool)
+        new[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.group, self.begin = np.cumsum(new) - 1, np.flatnonzero(new)
+
+    def rows(self, chunk: int) -> Iterator[dict]:
+        cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1)) if len(self.bucket) else []
+        for a, b in zip(cuts, [*cuts[1:], len(self.bucket)], strict=True):
+            g = self.begin[self.group[a] : self.group[b - 1] + 1]
+            sizes = np.diff(g, append=b).astype(np.uint32)
+            yield {"bucket": int(self.bucket[a]), "chunk": chunk, "contexts": _pack(self.h[self.context[g]]), "followers": _pack(sizes), "words": _pack(self.follower[a:b]), "times": _pack(self.times[a:b]), "chances": _pack(self.chances[a:b])}
+
+
+def _cut(least_chunk: int):
+    """Rows of texts to rows of the state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size = [], 0
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        def row(number: dict, texts: list) -> pa.RecordBatch:
+            words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
+            words[0] = _END
+            docs, rows, held, ids = (list(x) for x in zip(*texts, strict=True))
+            n, every = len(docs), np.concatenate(ids)
+            alive = np.ones(len(every), bool)
+            blank = _flags(np.zeros(len(every), bool))
+            state = {"chunk": uuid4().int >> 65, "docs": docs, "rows": rows, "held": held, "sizes": [len(i) for i in ids], "known": [0] * n, "base": [0.0] * n, "score": [0.0] * n}
+            state |= {"words": _pack(words), "ids": _pack(every.astype(np.uint32)), "often": blank, "hot": blank, "alive": _flags(alive), "chances": _pack(np.ones(len(every), np.float32)), "asked": len(every), "salted": 0}
+            return _table([state], _STATE).to_batches()[0]
 
-        def settled() -> tuple[np.ndarray, np.ndarray]:
-            more, found = np.unique(np.concatenate(pending), return_counts=True)
-            both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            return both, np.bincount(where, np.concatenate([counts, found]), len(both)).astype(np.int64)
+        def fresh() -> defaultdict:
+            number = defaultdict(count().__next__)
+            return number if number[b""] == 0 else number  # the end is number 0
 
+        number, texts, size = fresh(), [], 0
         for batch in batches:
-            for value in batch.column(0):
-                context, byte = _coded(symbols(value.as_py() or b""))
-                pending.append(context << 8 | byte)
-                size += len(byte)
-                if size > _PENDING:
-                    keys, counts = settled()
-                    pending, size = [], 0
-        if pending:
-            keys, counts = settled()
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], ["code", "n"])
-
-    return df.select(F.col(f"`{text}`").cast("binary")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-@dataclass(frozen=True)
-class Tree:
-    """``keys[d]`` holds the sorted contexts of depth d, and ``nodes[d]`` their rows in ``logs``: log10
-    probabilities of the next byte. Row 0 is the root."""
-
-    keys: list[np.ndarray]
-    nodes: list[np.ndarray]
-    logs: np.ndarray
-
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The longest node of at most three bytes for each three bytes, and by depth from three on which
-        contexts (of three bytes, and from four on by their place in ``keys``) have longer nodes."""
-        table = np.zeros(1, np.int32)
-        for depth in range(1, 4):
-            table = np.tile(table, 256)
-            table[self.keys[depth]] = self.nodes[depth]
-        longer = [np.zeros(1 << 24, bool)]
-        longer[0][self.keys[4] & 0xFFFFFF] = True
-        for depth in range(4, DEPTH):
-            longer.append(np.isin(self.keys[depth], self.keys[depth + 1] & ((1 << 8 * depth) - 1)))
-        return table, longer
-
-    def score(self, tables: tuple[np.ndarray, list[np.ndarray]], texts: list[bytes]) -> list[float]:
-        """The log10 probability of each byte sequence."""
-        if not texts:
-            return []
-        coded = [_coded(t) for t in texts]
-        context, byte = np.concatenate([c for c, _ in coded]), np.concatenate([b for _, b in coded])
-        table, longer = tables
-        short = context & 0xFFFFFF
-        node = table[short]
-        deep = np.flatnonzero(longer[0][short])
-        for depth in range(4, DEPTH + 1):
-            if not len(deep):
-                break
-            wanted = context[deep] & ((1 << 8 * depth) - 1)
-            at = np.minimum(np.searchsorted(self.keys[depth], wanted), len(self.keys[depth]) - 1)
-            hit = self.keys[depth][at] == wanted
-            deep, at = deep[hit], at[hit]
-            node[deep] = self.nodes[depth][at]
-            if depth < DEPTH:
-                deep = deep[longer[depth - 3][at]]
-        starts = np.concatenate([[0], np.cumsum([len(b) for _, b in coded])[:-1]])
-        return np.add.reduceat(self.logs[node, byte].astype(np.float64), starts).tolist()
-
-
-def fit(counts: DataFrame, *, most_nodes: int = MOST_NODES, least_count: int = LEAST_COUNT) -> Tree:
-    """The tree for ``context_counts``. Without texts it is a root that gives each byte the same probability."""
-    levels = {DEPTH: written(counts, "contexts")}
-    for depth in range(DEPTH - 1, -1, -1):
-        mask = (1 << 8 * (depth + 1)) - 1
-        levels[depth] = written(levels[depth + 1].groupBy(F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n")), "contexts")
-    parts = {d: df.select(F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n") for d, df in levels.items()}
-    totals = {d: p.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")) for d, p in parts.items()}
-    gains = None
-    for depth in range(1, DEPTH + 1):
-        mask = F.lit((1 << 8 * (depth - 1)) - 1)
-        above = parts[depth - 1].join(totals[depth - 1], "context").select(F.col("context").alias("suffix"), "byte", (F.col("n") / F.col("total")).alias("q"))
-        likely = totals[depth].where(F.col("total") >= least_count)
-        own = parts[depth].join(likely, "context").withColumn("suffix", F.col("context").bitwiseAND(mask))
-        gain = F.sum(F.col("n") * F.log2(F.col("n") / F.col("total") / F.col("q"))) - F.first("kinds") * F.log2(F.first("total")) / 2
-        level = own.join(above, ["suffix", "byte"]).groupBy("context").agg(gain.alias("gain")).where("gain > 0").select(F.lit(depth).alias("depth"), "context", "gain")
-        gains = level if gains is None else gains.union(level)
-    best = gains.orderBy(F.col("gain").desc(), "depth", "context").limit(most_nodes).collect()
-    wanted: set[tuple[int, int]] = set()
-    for r in best:
-        path = {(d, r["context"] & ((1 << 8 * d) - 1)) for d in range(1, r["depth"] + 1)}
-        if len(wanted | path) > most_nodes:
-            break
-        wanted |= path
-    spark = counts.sparkSession
-    chosen = spark.createDataFrame(sorted(wanted), "depth int, context long")
-    every = None
-    for depth in range(1, DEPTH + 1):
-        level = parts[depth].join(F.broadcast(chosen.where(F.col("depth") == depth)), "context").select("depth", "context", "byte", "n")
-        every = level if every is None else every.union(level)
-    root = np.zeros(256)
-    for r in parts[0].collect():
-        root[r["byte"]] = r["n"]
-    return _tree(root, sorted(wanted), every.toArrow())
-
-
-def _tree(root: np.ndarray, wanted: list[tuple[int, int]], rows: pa.Table) -> Tree:
-    number = {node: i for i, node in enumerate(wanted, 1)}
-    probabilities = np.zeros((len(wanted) + 1, 256))
-    at = np.fromiter((number[d, c] for d, c in zip(rows["depth"].to_pylist(), rows["context"].to_pylist(), strict=True)), np.int64, rows.num_rows)
-    np.add.at(probabilities, (at, rows["byte"].to_numpy().astype(np.int64)), rows["n"].to_numpy())
-    probabilities[0] = (root + 1) / (root.sum() + 256)
-    for (depth, context), i in number.items():  # by depth: a parent is smoothed before its children
-        parent = probabilities[number[depth - 1, context & ((1 << 8 * (depth - 1)) - 1)] if depth > 1 else 0]
-        kinds = np.count_nonzero(probabilities[i])
-        probabilities[i] = (probabilities[i] + kinds * parent) / (probabilities[i].sum() + kinds)
-    keys = [np.array([c for d, c in wanted if d == depth], np.int64) for depth in range(DEPTH + 1)]
-    nodes = [np.array([number[depth, c] for c in k.tolist()], np.int32) for depth, k in enumerate(keys)]
-    return Tree(keys, nodes, np.log10(probabilities).astype(np.float32))
-
-
-def score(df: DataFrame, text: str, tree: Tree, *, score: str = "score") -> DataFrame:
-    """``df`` with the text replaced by its log10 probability. No shuffle.
-
-    The whole text counts; NULL, empty and blank texts are just an end. An input column named like the
-    score is replaced.
-    """
-    require(df, text)
-    bounded_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name not in (text, score)]
-    data = df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").cast("binary").alias(free_name("_data", df.columns)))
-    held = df.sparkSession.sparkContext.broadcast(tree)
+            for doc, held, data in zip(*batch.columns, strict=True):
+                words, one, begin = (data.as_py() or b"").lower().split(), uuid4().int >> 65, 0
+                while begin >= 0:
+                    piece = words[begin : begin + least_chunk // 2]
+                    begin = begin + len(piece) if begin + len(piece) < len(words) else -1
+                    if size + len(piece) + 1 > least_chunk:
+                        yield row(number, texts)
+                        number, texts, size = fresh(), [], 0
+                    ids = np.fromiter(map(number.__getitem__, piece), np.int64, len(piece))
+                    texts.append((doc.as_py(), one, held.as_py(), ids if begin >= 0 else np.append(ids, 0)))
+                    size += len(texts[-1][3])
+        if texts:
+            yield row(number, texts)
+
+    return run
+
 
+def _sent(depth: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        tables = own.tables()
         for batch in batches:
-            last, scores, some, size = batch.num_columns - 1, [], [], 0
-            for value in batch.column(last):
-                some.append(symbols(value.as_py() or b""))
-                size += len(some[-1])
-                if size > 1 << 20:
-                    scores += own.score(tables, some)
-                    some, size = [], 0
-            scores += own.score(tables, some)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(scores, pa.float64())], [*batch.schema.names[:last], score])
-
-    return data.mapInArrow(run, T.StructType([*kept, T.StructField(score, T.DoubleType(), False)]))
+            for row in batch.to_pylist():
+                if row["asked"]:
+                    yield from _table(list(Chunk(row).ask(depth, buckets).rows(row["chunk"])), _ASKED).to_batches()
+
+    return run
+
+
+def _answered(depth: int, least_gain: float):
+    """Sums up a bucket: counts for each entry asked for, totals, followers and verdict for each context; of
+    contexts that are dealt out a histogram of counts instead."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        each = lambda name, kind: [_unpack(r[name], kind) for r in rows]
+        contexts, followers, words = each("contexts", np.uint64), each("followers", np.uint32), each("words", np.uint64)
+        h, group = np.unique(np.concatenate(contexts), return_inverse=True)
+        key = np.repeat(group, np.concatenate(followers)).astype(np.uint64) << np.uint64(_WORD_BITS) | np.concatenate(words)
+        key, entry = np.unique(key, return_inverse=True)
+        n = np.bincount(entry, np.concatenate(each("times", np.uint32)), len(key)).astype(np.int64)
+        q = np.zeros(len(key), np.uint8)
+        q[entry] = np.concatenate(each("chances", np.uint8))
+        own = (key >> np.uint64(_WORD_BITS)).astype(np.int64)
+        sums = lambda w: np.bincount(own, w, len(h))
+        total = sums(n).astype(np.int64)
+        kinds = total - sums(np.maximum(n - 1, 0)).astype(np.int64)
+        out, salted = [], rows[0]["bucket"] % 2 == 1
+        kept = np.zeros(len(h), bool)
+        if depth and not salted:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rest = np.where(total > 0, kinds / np.maximum(total, 1), 1.0)
+                parent, twice = 2.0 ** (-q.astype(np.float64) / STEPS), n >= 2
+                better = np.where(twice, n * np.log(np.maximum(n - 1, 0) / np.maximum(total, 1)[own] / parent + rest[own]), 0.0)
+                kept = sums(better) + (total - sums(np.where(twice, n, 0))) * np.log(rest) > least_gain
+        ends = np.cumsum([len(w) for w in words]).tolist()
+        heads = np.cumsum([len(c) for c in contexts]).tolist()
+        for r, a, b, c, d in zip(rows, [0, *ends], ends, [0, *heads], heads, strict=False):
+            some = group[c:d]
+            summed = {} if salted else {"totals": _pack(total[some]), "kinds": _pack(kinds[some]), "kept": _flags(kept[some])}
+            out.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": _pack(n[entry[a:b]])} | summed)
+        if not depth:
+            out.append({"h": 0, "n": int(total.sum()), "times": int(np.count_nonzero(total))})
+        if salted:
+            trained = n > 0
+            cells, times = np.unique(np.stack([own[trained], n[trained], np.where(n > 1, q, 0)[trained]]), axis=1, return_counts=True)
+            out += [{"h": int(h[g : g + 1].view(np.int64)[0]), "n": k, "q": p, "times": t} for g, k, p, t in zip(*cells.tolist(), times.tolist(), strict=True)]
+        return _table(out, _ANSWERS)
+
+    return run
+
+
+def _settled(depth: int, buckets: int, hot: tuple, least_hot: int, size: tuple[int, int]):
+    """Takes a chunk's answers: what can't be extended is scored, the rest stays alive."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        chunk, n = Chunk(row), len(row["docs"])
+        if not row["asked"]:
+            return _table([row], _STATE)
+        asked = chunk.ask(depth, buckets)
+        answers = sorted(right.to_pylist(), key=lambda r: (r["bucket"] % 2, r["bucket"]))
+        counts = np.concatenate([_unpack(r["counts"], np.int64) for r in answers])
+        groups = len(asked.begin)
+        total, kinds, kept = np.zeros(groups, np.int64), np.zeros(groups, np.int64), np.zeros(groups, bool)
+        plain = [r for r in answers if r["totals"] is not None]
+        if plain:
+            known = [_unpack(r["totals"], np.int64) for r in plain]
+            k = sum(len(x) for x in known)
+            total[:k], kinds[:k] = np.concatenate(known), np.concatenate([_unpack(r["kinds"], np.int64) for r in plain])
+            kept[:k] = np.concatenate([_unflags(r["kept"], len(x)) for r, x in zip(plain, known, strict=True)])
+        salted = np.flatnonzero(asked.bucket[asked.begin] % 2 == 1)
+        if len(salted) and len(hot[0]):
+            wanted = asked.h[asked.context[asked.begin[salted]]].view(np.int64)
+            where = np.minimum(np.searchsorted(hot[0], wanted), len(hot[0]) - 1)
+            found = hot[0][where] == wanted
+            total[salted[found]], kinds[salted[found]], kept[salted[found]] = (x[where[found]] for x in hot[1:])
+        at, entry = chunk.at, asked.entry
+        group = asked.group[entry]
+        if depth == 0:
+            c = total[group]
+            trained, different = size
+            chances = (c + 1) / (trained + different + 1)
+            row["known"] = np.bincount(chunk.text, c > 0, n).astype(np.int64).tolist()
+            row["base"] = np.bincount(chunk.text, np.log10(chances), n).tolist()
+            times, more = c, np.ones(len(at), bool)
+        else:
+            times, good = counts[entry], kept[group]
+            over = np.maximum(total[group], 1)
+            chances = np.where(good, np.maximum(times - 1, 0) / over + kinds[group] / over * chunk.chances, chunk.chances)
+            more = good & (kinds[group] > 1)
+        chunk.often[at], chunk.hot[at] = times >= 2, times >= least_hot
+        more &= (at - chunk.starts[chunk.text[at]] > depth) & chunk.often[at - 1]
+        done = ~more
+        row["score"] = (np.array(row["score"]) + np.bincount(chunk.text[at[done]], np.log10(chances[done]), n)).tolist()
+        alive = np.zeros(len(chunk.ids), bool)
+        alive[at[more]] = True
+        left_over = int(np.count_nonzero(more))
+        row |= {"often": _flags(chunk.often), "hot": _flags(chunk.hot), "alive": _flags(alive), "chances": _pack(chances[more].astype(np.float32)), "asked": left_over, "salted": int(np.count_nonzero(chunk.hot[at[more] - 1]))}
+        if not left_over:
+            row |= {k: b"" for k in ("words", "ids", "often", "hot", "alive", "chances")}
+        return _table([row], _STATE)
+
+    return run
+
+
+def _hot_contexts(answers: DataFrame, least_gain: float) -> tuple:
+    """Hash, total, followers and verdict of the contexts that were dealt out, sorted: at most ``MOST_HOT``."""
+    cells = answers.where("chunk is null").groupBy("h", "n", "q").agg(F.sum("times").alias("times"))
+    sums = cells.groupBy("h").agg(F.sum(F.col("n") * F.col("times")).alias("total"), F.sum("times").alias("kinds"))
+    # k = n - sum(max(n(a) - 1, 0)) is the number of different followers.
+    both, parent = cells.join(sums, "h"), F.pow(F.lit(2.0), -F.col("q") / STEPS)
+    rest = F.col("kinds") / F.col("total")
+    better = F.when(F.col("n") > 1, F.log((F.col("n") - 1) / F.col("total") / parent + rest)).otherwise(F.log(rest))
+    found = both.groupBy("h").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"), (F.sum(F.col("times") * F.col("n") * better) > least_gain).alias("kept"))
+    table = found.toArrow().sort_by("h")
+    return tuple(table[c].to_numpy() for c in ("h", "total", "kinds", "kept"))
+
+
+def score(
+    documents: DataFrame, identifier: str, text: str, held_out: Column, *, least_gain: float = LEAST_GAIN, chunk_words: int = CHUNK_WORDS, least_hot: int = HOT, bucket_entries: int = BUCKET_ENTRIES
+) -> DataFrame:
+    """``identifier, held_out, n_tokens, n_known, train_tokens, base_score, score``: a row for each row of ``documents``.
+
+    Learned from the rows that aren't held out; a NULL ``held_out`` is not held out. ``base_score`` is the root's
+    log10 probability of the text, ``score`` the tree's. The whole text counts; NULL, empty and blank texts are just
+    an end. Repeated rows count as often as they occur. Without training rows all scores are 0. An identifier
+    may have any type that casts to a string and back. Other columns aren't read.
+    """
+    require(documents, identifier, text)
+    spark, kind = documents.sparkSession, documents.schema[identifier].dataType
+    plain = documents.select(F.col(f"`{identifier}`").cast("string").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text}`").cast("string").cast("binary").alias("data"))
+    with session_settings(spark, _SETTINGS | {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}):
+        state, path = kept_table(plain.mapInArrow(_cut(chunk_words), _STATE), "lm-chunks", **_OPTIONS)
+    trained = different = depth = 0
+    with session_settings(spark, _SETTINGS):
+        while (here := state.agg(F.sum("asked").alias("asked"), F.sum("salted").alias("salted")).first())["asked"]:
+            buckets = here["asked"] // bucket_entries + 1
+            sent = state.select("chunk", "docs", "rows", "held", "sizes", "words", "ids", "often", "hot", "alive", "chances", "asked").mapInArrow(_sent(depth, buckets), _ASKED)
+            answers, answers_path = kept_table(sent.groupBy("bucket").applyInArrow(_answered(depth, least_gain), _ANSWERS), "lm-answers", **_OPTIONS)
+            hot = (np.empty(0, np.int64),) * 4
+            if depth == 0:
+                trained, different = (int(x or 0) for x in answers.where("chunk is null").agg(F.sum("n"), F.sum("times")).first())
+                least_hot = max(least_hot, trained // MOST_HOT)
+            elif here["salted"]:
+                hot = _hot_contexts(answers, least_gain)
+            step = _settled(depth, buckets, hot, least_hot, (trained, different))
+            mine = answers.where("chunk is not null").select("chunk", "bucket", "counts", "totals", "kinds", "kept")
+            following, following_path = kept_table(state.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(step, _STATE), "lm-chunks", **_OPTIONS)
+            delete_scratch(spark, path), delete_scratch(spark, answers_path)
+            state, path, depth = following, following_path, depth + 1
+    each = state.select(F.explode(F.arrays_zip("docs", "rows", "held", "sizes", "known", "base", "score")).alias("x")).select("x.*")
+    # The pieces of a long text are put together again.
+    whole = each.groupBy("rows").agg(F.first("docs").alias("doc"), F.first("held").alias("held"), *(F.sum(c).alias(c) for c in ("sizes", "known", "base", "score")))
+    return whole.select(
+        F.col("doc").cast(kind).alias(identifier),
+        F.col("held").alias(free_name("held_out", [identifier])),
+        F.col("sizes").alias("n_tokens"),
+        F.col("known").alias("n_known"),
+        F.lit(trained).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
+    )
