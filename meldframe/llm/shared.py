@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch sent to Python. Texts may be long: this bounds a worker's memory.
@@ -70,6 +72,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return kept_table(df, name)[0]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The array's bytes by plane, compressed: planes of high bytes are mostly zeros."""
+    if not len(values):
+        return b""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.empty(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_ROWS`` rows from here on in this session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

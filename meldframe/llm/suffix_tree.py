@@ -30,18 +30,17 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meldframe.llm.shared import delete_scratch, free_name, kept_table, require, session_settings
+from meldframe.llm.shared import delete_scratch, free_name, kept_table, packed, require, session_settings, unpacked
 
 #: A chunk has fewer positions than this; a longer text is cut into pieces, over whose bounds contexts don't reach.
-CHUNK_WORDS = (1 << 21) - 2
+CHUNK_WORDS = (1 << 20) - 2
 #: Nats by which a context must better its suffix on what follows it in training.
 LEAST_GAIN = 2.0
 #: Entries of a bucket, about.
-BUCKET_ENTRIES = 1 << 20
+BUCKET_ENTRIES = 1 << 19
 #: Occurrences from which a context is dealt out by context and word; never more than ``MOST_HOT`` such contexts a level.
 HOT, MOST_HOT = 1 << 20, 1 << 20
 #: Parent probabilities are tested in steps of a quarter bit.
@@ -63,26 +62,12 @@ _SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64", "spark.sql.ex
 _OPTIONS = {"parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "2"}
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """The array's bytes by plane, compressed: planes of high bytes are mostly zeros."""
-    if not len(values):
-        return b""
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
-
-
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    if not data:
-        return np.empty(0, kind)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def _flags(values: np.ndarray) -> bytes:
-    return _pack(np.packbits(values))
+    return packed(np.packbits(values))
 
 
 def _unflags(data: bytes, size: int) -> np.ndarray:
-    return np.unpackbits(_unpack(data, np.uint8), count=size).astype(bool) if data else np.zeros(size, bool)
+    return np.unpackbits(unpacked(data, np.uint8), count=size).astype(bool) if data else np.zeros(size, bool)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -118,11 +103,11 @@ class Chunk:
     row: dict
 
     def __post_init__(self) -> None:
-        self.words, self.ids = _unpack(self.row["words"], np.uint64), _unpack(self.row["ids"], np.uint32).astype(np.int64)
+        self.words, self.ids = unpacked(self.row["words"], np.uint64), unpacked(self.row["ids"], np.uint32).astype(np.int64)
         n = len(self.ids)
         self.often, self.hot, self.alive = (_unflags(self.row[k], n) for k in ("often", "hot", "alive"))
         self.at = np.flatnonzero(self.alive)
-        self.chances = _unpack(self.row["chances"], np.float32)
+        self.chances = unpacked(self.row["chances"], np.float32)
         sizes = np.array(self.row["sizes"], np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.text = np.repeat(np.arange(len(sizes)), sizes)
@@ -183,7 +168,7 @@ class Asked:
         for a, b in zip(cuts, [*cuts[1:], len(self.bucket)], strict=True):
             g = self.begin[self.group[a] : self.group[b - 1] + 1]
             sizes = np.diff(g, append=b).astype(np.uint32)
-            yield {"bucket": int(self.bucket[a]), "chunk": chunk, "contexts": _pack(self.h[self.context[g]]), "followers": _pack(sizes), "words": _pack(self.follower[a:b]), "times": _pack(self.times[a:b]), "chances": _pack(self.chances[a:b])}
+            yield {"bucket": int(self.bucket[a]), "chunk": chunk, "contexts": packed(self.h[self.context[g]]), "followers": packed(sizes), "words": packed(self.follower[a:b]), "times": packed(self.times[a:b]), "chances": packed(self.chances[a:b])}
 
 
 def _cut(least_chunk: int):
@@ -198,7 +183,7 @@ def _cut(least_chunk: int):
             alive = np.ones(len(every), bool)
             blank = _flags(np.zeros(len(every), bool))
             state = {"chunk": uuid4().int >> 65, "docs": docs, "rows": rows, "held": held, "sizes": [len(i) for i in ids], "known": [0] * n, "base": [0.0] * n, "score": [0.0] * n}
-            state |= {"words": _pack(words), "ids": _pack(every.astype(np.uint32)), "often": blank, "hot": blank, "alive": _flags(alive), "chances": _pack(np.ones(len(every), np.float32)), "asked": len(every), "salted": 0}
+            state |= {"words": packed(words), "ids": packed(every.astype(np.uint32)), "often": blank, "hot": blank, "alive": _flags(alive), "chances": packed(np.ones(len(every), np.float32)), "asked": len(every), "salted": 0}
             return _table([state], _STATE).to_batches()[0]
 
         def fresh() -> defaultdict:
@@ -240,7 +225,7 @@ def _answered(depth: int, least_gain: float):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        each = lambda name, kind: [_unpack(r[name], kind) for r in rows]
+        each = lambda name, kind: [unpacked(r[name], kind) for r in rows]
         contexts, followers, words = each("contexts", np.uint64), each("followers", np.uint32), each("words", np.uint64)
         h, group = np.unique(np.concatenate(contexts), return_inverse=True)
         key = np.repeat(group, np.concatenate(followers)).astype(np.uint64) << np.uint64(_WORD_BITS) | np.concatenate(words)
@@ -264,8 +249,8 @@ def _answered(depth: int, least_gain: float):
         heads = np.cumsum([len(c) for c in contexts]).tolist()
         for r, a, b, c, d in zip(rows, [0, *ends], ends, [0, *heads], heads, strict=False):
             some = group[c:d]
-            summed = {} if salted else {"totals": _pack(total[some]), "kinds": _pack(kinds[some]), "kept": _flags(kept[some])}
-            out.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": _pack(n[entry[a:b]])} | summed)
+            summed = {} if salted else {"totals": packed(total[some]), "kinds": packed(kinds[some]), "kept": _flags(kept[some])}
+            out.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": packed(n[entry[a:b]])} | summed)
         if not depth:
             out.append({"h": 0, "n": int(total.sum()), "times": int(np.count_nonzero(total))})
         if salted:
@@ -287,14 +272,14 @@ def _settled(depth: int, buckets: int, hot: tuple, least_hot: int, size: tuple[i
             return _table([row], _STATE)
         asked = chunk.ask(depth, buckets)
         answers = sorted(right.to_pylist(), key=lambda r: (r["bucket"] % 2, r["bucket"]))
-        counts = np.concatenate([_unpack(r["counts"], np.int64) for r in answers])
+        counts = np.concatenate([unpacked(r["counts"], np.int64) for r in answers])
         groups = len(asked.begin)
         total, kinds, kept = np.zeros(groups, np.int64), np.zeros(groups, np.int64), np.zeros(groups, bool)
         plain = [r for r in answers if r["totals"] is not None]
         if plain:
-            known = [_unpack(r["totals"], np.int64) for r in plain]
+            known = [unpacked(r["totals"], np.int64) for r in plain]
             k = sum(len(x) for x in known)
-            total[:k], kinds[:k] = np.concatenate(known), np.concatenate([_unpack(r["kinds"], np.int64) for r in plain])
+            total[:k], kinds[:k] = np.concatenate(known), np.concatenate([unpacked(r["kinds"], np.int64) for r in plain])
             kept[:k] = np.concatenate([_unflags(r["kept"], len(x)) for r, x in zip(plain, known, strict=True)])
         salted = np.flatnonzero(asked.bucket[asked.begin] % 2 == 1)
         if len(salted) and len(hot[0]):
@@ -323,7 +308,7 @@ def _settled(depth: int, buckets: int, hot: tuple, least_hot: int, size: tuple[i
         alive = np.zeros(len(chunk.ids), bool)
         alive[at[more]] = True
         left_over = int(np.count_nonzero(more))
-        row |= {"often": _flags(chunk.often), "hot": _flags(chunk.hot), "alive": _flags(alive), "chances": _pack(chances[more].astype(np.float32)), "asked": left_over, "salted": int(np.count_nonzero(chunk.hot[at[more] - 1]))}
+        row |= {"often": _flags(chunk.often), "hot": _flags(chunk.hot), "alive": _flags(alive), "chances": packed(chances[more].astype(np.float32)), "asked": left_over, "salted": int(np.count_nonzero(chunk.hot[at[more] - 1]))}
         if not left_over:
             row |= {k: b"" for k in ("words", "ids", "often", "hot", "alive", "chances")}
         return _table([row], _STATE)
