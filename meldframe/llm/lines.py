@@ -1,18 +1,20 @@
 """Line deduplication with a segment-partition edit join.
 
-A line goes if an earlier line of the corpus, in order of document and line number, is equal to it or,
-from ``least`` characters on, within ``threshold`` edits of it. Two lines within k edits have, of the shorter line's k+1 segments,
-one that stands unchanged in the longer line, shifted no further than the edits around it allow. So
-each distinct line puts its segments into an index, and looks up the substrings of its own that a line
-of each admissible length could have as segments. Candidates meet by a hash join on substring hashes
-and are verified on their texts by a banded bit-parallel edit distance.
-
-Equal lines are one before the join, so a line that many documents share costs as much as one.
+A line goes if an earlier line of the corpus, in order of document and line number, is equal to it or, from
+``least`` characters on, within ``threshold`` edits of it: of words if both lines are long, else of characters.
+Two lines within k edits have, of the shorter line's k+1 segments, one that stands unchanged in the longer line,
+shifted no further than the edits around it allow. So each distinct line puts its segments into an index, and
+looks up the substrings of its own that a line of each admissible length could have as segments. Lines that meet
+under a key are first compared by signature, then on their texts by a banded bit-parallel edit distance.
+
+Keys travel as packed arrays to buckets by hash and are joined there; a key that very many lines share is
+split by pieces of the signature, one of which two near lines must have in common. Equal lines are one before
+the join, so a line that many documents share costs as much as one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meldframe.llm.shared import bounded_batches, free_name, require, written
+from meldframe.llm.shared import bounded_batches, free_name, packed, require, unpacked, written
 
 THRESHOLD = 2
 #: Shorter lines, in code points without outer white space, have no near copies: two edits can make another line of them.
@@ -30,10 +32,20 @@ _LOCAL_LINES = 1 << 18
 BITMAP = 1 << 26
 #: A substitution changes two pairs of neighbours into two others.
 SIGN_BITS = 4
+#: Lines of so many words or more are compared by words.
+LONG_WORDS = 40
+#: Entries of a bucket, about, and comparisons from which a key is split up.
+BUCKET_ENTRIES, HOT_PAIRS = 1 << 20, 1 << 22
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_BASE = 0xD1342543DE82EF95
+_UNBASE = np.uint64(pow(_BASE, -1, 1 << 64))
+_BASE = np.uint64(_BASE)
+_CHUNK_LINES = 1 << 16
+_ENTRIES = "bucket long, a binary, a_mark binary, a_sign binary, b binary, b_mark binary, b_sign binary"
+_MET = "a long, b long, key long, mark long, sign long, probe boolean"
 
 
-def edit_distance_within(a: str, b: str, most: int) -> bool:
+def edit_distance_within(a: Sequence, b: Sequence, most: int) -> bool:
     """Whether at most ``most`` insertions, deletions and substitutions turn ``a`` into ``b``."""
     if a == b:
         return True
@@ -62,12 +74,12 @@ def edit_distance_within(a: str, b: str, most: int) -> bool:
     return _banded(a, b, most) <= most
 
 
-def _banded(rows: str, columns: str, most: int) -> int:
+def _banded(rows: Sequence, columns: Sequence, most: int) -> int:
     """The edit distance, or more than ``most``: a column's vertical differences are kept as bits, only for the
     2k+1 diagonals that a distance of k can reach. ``rows`` is not the shorter one."""
     width = 2 * most + 1
     full = (1 << width) - 1
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, c in enumerate(rows):
         at[c] = at.get(c, 0) | 1 << i
     up, down = ((1 << most + 1) - 1) << most, 0
@@ -91,38 +103,76 @@ def _banded(rows: str, columns: str, most: int) -> int:
     return distance
 
 
-def _bounds(length: int, parts: int) -> list[tuple[int, int]]:
-    """The segments of a line: as even as can be, the longer ones last."""
-    small, longer = divmod(length, parts)
-    out, at = [], 0
-    for i in range(parts):
-        size = small + (i >= parts - longer)
-        out.append((at, size))
-        at += size
-    return out
-
-
-
-
-def _key(piece: str, length: int, part: int) -> int:
-    return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass"), length << 8 | part)
-
-
-def index_keys(line: str, threshold: int) -> list[int]:
-    return [_key(line[a : a + n], len(line), i) for i, (a, n) in enumerate(_bounds(len(line), threshold + 1))]
-
-
-def probe_keys(line: str, threshold: int) -> list[int]:
-    """The hashes of the substrings that, for a line of each length from ``threshold`` less up to this one's, can
-    be its unchanged segment: of its first i segments at most i can be changed, and of the last likewise."""
-    out = []
-    for less in range(threshold + 1):
-        length = len(line) - less
-        for i, (a, n) in enumerate(_bounds(length, threshold + 1)):
-            low = max(a - i, a + less - (threshold - i), 0)
-            high = min(a + i, a + less + (threshold - i), len(line) - n)
-            out += [_key(line[p : p + n], length, i) for p in range(low, high + 1)]
-    return out
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
+    return h ^ (h >> np.uint64(29))
+
+
+class Symbols:
+    """Lines as runs of symbols, characters or words, with a hash for each of their pieces."""
+
+    def __init__(self, lines: list, sizes: np.ndarray, codes: np.ndarray, salt: int):
+        n = len(codes)
+        self.sizes, self.salt = sizes, np.uint64(salt)
+        self.starts = np.cumsum(sizes) - sizes
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
+            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _UNBASE)]))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(codes + np.uint64(1)) * powers[:n])])
+        classes = _mixed(codes[:-1] * _MIX[0] + codes[1:] * _MIX[1]) >> np.uint64(58) if n > 1 else codes[:0]
+        bits = np.append(np.uint64(1) << classes, np.zeros(min(n, 1), np.uint64))
+        bits[self.starts[1:] - 1] = 0  # those of two lines
+        #: Which of 64 classes of neighbouring symbols a line holds an odd number of times: an edit changes at most ``SIGN_BITS``.
+        self.signs = np.bitwise_xor.reduceat(bits, self.starts) if n else np.empty(0, np.uint64)
+
+    @classmethod
+    def characters(cls, lines: list[str]) -> Symbols:
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return cls(lines, np.fromiter(map(len, lines), np.int64, len(lines)), codes, 1)
+
+    @classmethod
+    def words(cls, lines: list[str], known: dict[str, int]) -> Symbols:
+        if len(known) > _LOCAL_LINES:
+            known.clear()
+        split = [x.split() for x in lines]
+        for w in set().union(*split) - known.keys():
+            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        codes = np.fromiter((known[w] for x in split for w in x), np.uint64, sum(map(len, split)))
+        return cls(lines, np.fromiter(map(len, split), np.int64, len(lines)), codes, 2)
+
+    def _hash(self, which: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, part: int) -> np.ndarray:
+        begin = self.starts[which] + at
+        piece = (self.sums[begin + size] - self.sums[begin]) * self.down[begin]
+        return _mixed(piece ^ _mixed(length.astype(np.uint64) << np.uint64(8) | np.uint64(part) | self.salt << np.uint64(56)))
+
+    def index_keys(self, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's segments: the lines' numbers and the keys."""
+        which = np.arange(len(self.sizes))
+        keys = [self._hash(which, *_segment(self.sizes, threshold + 1, i), self.sizes, i) for i in range(threshold + 1)]
+        return np.tile(which, threshold + 1), np.concatenate(keys)
+
+    def probe_keys(self, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """The substrings that, for a line of each length from ``threshold`` less up to this one's, can be its
+        unchanged segment: of its first i segments at most i can be changed, and of the last likewise."""
+        lines, keys = [], []
+        for less in range(threshold + 1):
+            length = self.sizes - less
+            for i in range(threshold + 1):
+                a, n = _segment(np.maximum(length, 0), threshold + 1, i)
+                low = np.maximum(np.maximum(a - i, a + less - (threshold - i)), 0)
+                high = np.minimum(np.minimum(a + i, a + less + (threshold - i)), self.sizes - n)
+                for more in range(2 * threshold + 1):
+                    which = np.flatnonzero((low + more <= high) & (length > 0))
+                    if len(which):
+                        lines.append(which)
+                        keys.append(self._hash(which, (low + more)[which], n[which], length[which], i))
+        return (np.concatenate(lines), np.concatenate(keys)) if lines else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def _segment(length: np.ndarray, parts: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beginning and size of segment ``i`` of lines cut as evenly as can be, the longer segments last."""
+    small, longer = np.divmod(length, parts)
+    return i * small + np.maximum(0, i - (parts - longer)), small + (i >= parts - longer)
 
 
 def _identity(line: str) -> tuple[int, int]:
@@ -134,19 +184,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(lines: list[str]) -> list[int]:
-    """For each line of two characters or more, which of 64 classes of neighbouring characters it holds an odd
-    number of times: an edit changes at most ``SIGN_BITS`` of them."""
-    if not lines:
-        return []
-    codes = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    classes = (codes[:-1] * _MIX[0] + codes[1:] * _MIX[1]) >> np.uint64(58)
-    bits = np.uint64(1) << classes
-    starts = np.cumsum([0] + [len(x) + 1 for x in lines[:-1]])
-    bits[starts[1:] - 2] = bits[starts[1:] - 1] = 0  # those with the line feed between two lines
-    return np.bitwise_xor.reduceat(bits, starts).view(np.int64).tolist()
-
-
 def lines_of(text: str | None, least: int = LEAST_CHARS) -> Iterator[tuple[int, str]]:
     """Number and stripped text of each line that is long enough to be judged."""
     for number, line in enumerate((text or "").split("\n")):
@@ -179,36 +216,124 @@ def _mapped(df: DataFrame, names: list[str], rows, schema: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
 
 
-def near_pairs(documents: DataFrame, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
-    """``a1, a2, b1, b2``: the 128-bit identities of each two different lines within ``threshold`` edits."""
+def near_lines(a: str, b: str, threshold: int, long_words: int) -> bool:
+    """Whether two lines are within ``threshold`` edits: of words if both have ``long_words``, else of characters."""
+    x, y = a.split(), b.split()
+    if min(len(x), len(y)) >= long_words:
+        return edit_distance_within(x, y, threshold)
+    return edit_distance_within(a, b, threshold)
 
-    def keys(of_line, name: str) -> DataFrame:
-        def rows():
-            seen: set[int] = set()
 
-            def of(value: str | None) -> Iterator[tuple[int, int, int]]:
-                # A line met again in the same task adds nothing; the set only spares work and starts anew when large.
-                if len(seen) > _LOCAL_LINES:
-                    seen.clear()
-                new = []
+def _entries(least: int, threshold: int, long_words: int, buckets: int):
+    """Texts to packed keys by bucket, a bounded number of lines at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        known: dict[str, int] = {}
+        marks: list[int] = []
+        lines: list[str] = []
+
+        def rows() -> pa.RecordBatch:
+            mark = np.array(marks, np.int64)
+            long = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
+            sides: list[list] = [[], []]
+            # A pair is compared by characters if the shorter line isn't long; the other can have ``threshold`` words more.
+            for chosen, make in ((np.flatnonzero(long < long_words + threshold), Symbols.characters), (np.flatnonzero(long >= long_words), lambda x: Symbols.words(x, known))):
+                if len(chosen):
+                    own = make([lines[k] for k in chosen.tolist()])
+                    for side, (which, keys) in zip(sides, (own.index_keys(threshold), own.probe_keys(threshold)), strict=True):
+                        side.append((keys, mark[chosen[which]], own.signs[which]))
+            columns, cuts = [], []
+            for side in sides:
+                keys, owners, signs = (np.concatenate(x) for x in zip(*side, strict=True))
+                order = np.argsort(keys)
+                columns.append((keys[order], owners[order], signs[order]))
+                bucket = (columns[-1][0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                cuts.append(np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)).tolist())
+            out = [(k, *(packed(x[c[k] : c[k + 1]]) for side, c in zip(columns, cuts, strict=True) for x in side)) for k in range(buckets) if cuts[0][k + 1] > cuts[0][k] or cuts[1][k + 1] > cuts[1][k]]
+            marks.clear(), lines.clear()
+            names = [f.split()[0] for f in _ENTRIES.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names)
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
                 for _, line in lines_of(value, least):
                     mark = _identity(line)[0]
                     if mark not in seen:
-                        seen.add(mark)
-                        new.append((mark, line))
-                for (mark, line), signature in zip(new, signatures([x for _, x in new]), strict=True):
-                    for key in of_line(line, threshold):
-                        yield _signed(key), mark, signature
-
-            return of
-
-        found = _mapped(documents, [text], rows, f"key long, {name} long, {name}_sign long")
-        return found.repartition("key").dropDuplicates(["key", name])
-
-    near = F.bit_count(F.col("a_sign").bitwiseXOR(F.col("b_sign"))) <= SIGN_BITS * threshold
-    met = keys(index_keys, "a").join(keys(probe_keys, "b"), "key")
-    pairs = met.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-    pairs = written(pairs, "pairs")
+                        seen.add(mark), marks.append(mark), lines.append(line)
+                if len(lines) > _CHUNK_LINES:
+                    yield rows()
+                # A line met again in the same task adds nothing; the set only spares work and starts anew when large.
+                if len(seen) > _LOCAL_LINES:
+                    seen.clear()
+        if lines:
+            yield rows()
+
+    return run
+
+
+def _meet(limit: int, hot_pairs: int):
+    """The pairs of a bucket: lines that meet under a key and whose signatures allow it. Keys under which too many
+    would be compared are put out line by line."""
+
+    def once(table: pa.Table, side: str) -> list[np.ndarray]:
+        each = lambda name, kind: np.concatenate([unpacked(x, kind) for x in table[name].to_pylist()])
+        key, mark, sign = each(side, np.uint64), each(f"{side}_mark", np.int64), each(f"{side}_sign", np.uint64)
+        _, first = np.unique(_mixed(key) ^ mark.view(np.uint64), return_index=True)
+        first = first[np.argsort(key[first], kind="stable")]
+        return [x[first] for x in (key, mark, sign)]
+
+    def run(table: pa.Table) -> pa.Table:
+        (a, a_mark, a_sign), (b, b_mark, b_sign) = once(table, "a"), once(table, "b")
+        low, high = np.searchsorted(a, b), np.searchsorted(a, b, side="right")
+        met = np.flatnonzero(high > low)
+        b, b_mark, b_sign, low, size = b[met], b_mark[met], b_sign[met], low[met], (high - low)[met]
+        _, where, probes = np.unique(b, return_inverse=True, return_counts=True)
+        heavy = size * probes[where] > hot_pairs
+        found, plain = [], np.flatnonzero(~heavy)
+        ends = np.cumsum(size[plain])
+        for part in np.split(plain, np.searchsorted(ends, np.arange(hot_pairs, int(ends[-1]) if len(ends) else 0, hot_pairs))):
+            n = size[part]
+            left = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            right = np.repeat(part, n)
+            near = (np.bitwise_count(a_sign[left] ^ b_sign[right]) <= limit) & (a_mark[left] != b_mark[right])
+            found.append((a_mark[left[near]], b_mark[right[near]]))
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        hot = np.flatnonzero(np.isin(a, np.unique(b[heavy])))
+        rows = [(a[hot], a_mark[hot], a_sign[hot]), (b[heavy], b_mark[heavy], b_sign[heavy])]
+        key, mark, sign = (np.concatenate(c) for c in zip(*rows, strict=True))
+        blank, none = pa.nulls(len(x), pa.int64()), pa.nulls(len(key), pa.int64())
+        both = lambda first, second: pa.concat_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())])
+        probe = pa.concat_arrays([pa.nulls(len(x), pa.bool_()), pa.array(np.arange(len(key)) >= len(hot))])
+        return pa.Table.from_arrays([both(x, none), both(y, none), both(blank, key.view(np.int64)), both(blank, mark), both(blank, sign.view(np.int64)), probe], ["a", "b", "key", "mark", "sign", "probe"])
+
+    return run
+
+
+def _hot_pairs(hot: DataFrame, limit: int) -> DataFrame:
+    """The pairs under keys that very many lines share. Signatures that differ in at most ``limit`` bits agree in one
+    of ``limit + 1`` pieces, so lines meet under key and piece."""
+    width = 64 // (limit + 1)
+    piece = F.expr(f"shiftrightunsigned(sign, piece * {width}) & {(1 << width) - 1}L")
+    parts = hot.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(limit)))).withColumn("bits", piece)
+    side = lambda probe, s: parts.where(F.col("probe") == F.lit(probe)).select("key", "piece", "bits", F.col("mark").alias(s), F.col("sign").alias(f"{s}_sign"))
+    near = (F.bit_count(F.col("a_sign").bitwiseXOR(F.col("b_sign"))) <= limit) & (F.col("a") != F.col("b"))
+    return side(False, "a").join(side(True, "b"), ["key", "piece", "bits"]).where(near).select("a", "b").distinct()
+
+
+def near_pairs(
+    documents: DataFrame, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, long_words: int = LONG_WORDS, n_lines: int, bucket_entries: int = BUCKET_ENTRIES, hot_pairs: int = HOT_PAIRS
+) -> DataFrame:
+    """``a1, a2, b1, b2``: the 128-bit identities of each two different lines that are near (see ``near_lines``).
+
+    ``n_lines`` sets the number of buckets. Keys are sent in packed arrays, not as rows.
+    """
+    bounded_batches(documents.sparkSession)
+    buckets, limit = n_lines * 15 // bucket_entries + 1, SIGN_BITS * threshold
+    sent = documents.select(F.col(f"`{text}`")).mapInArrow(_entries(least, threshold, long_words, buckets), _ENTRIES)
+    met = written(sent.groupBy("bucket").applyInArrow(_meet(limit, hot_pairs), _MET), "met-lines")
+    pairs = met.where("key is null").select("a", "b").distinct().union(_hot_pairs(met.where("key is not null"), limit))
+    pairs = written(pairs.distinct(), "pairs")
 
     wanted = written(pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).distinct(), "wanted")
     maybe = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted))
@@ -232,7 +357,7 @@ def near_pairs(documents: DataFrame, text: str, *, threshold: int = THRESHOLD, l
 
     def check():
         def of(a1, a2, b1, b2, a, b):
-            if edit_distance_within(a, b, threshold):
+            if near_lines(a, b, threshold, long_words):
                 yield a1, a2, b1, b2
 
         return of
@@ -250,11 +375,12 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, least_equal: int | None = None) -> DataFrame:
+def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, least_equal: int = 1, long_words: int = LONG_WORDS) -> DataFrame:
     """``identifier, text_mark, line, near``: the lines that go; ``near`` is false for those equal to an earlier line.
 
-    Lines of ``least_equal`` characters or more (``least`` if not given; 1 means every line that is not blank) are
-    compared for equality, those of ``least`` or more for nearness too. Of equal lines the first by identifier and line number stays, unless an earlier line is within
+    Lines of ``least_equal`` characters or more (1: all that aren't blank) are compared for equality, those of
+    ``least`` or more for nearness too: within ``threshold`` edits of characters, or of words where both lines have
+    ``long_words``. Of equal lines the first by identifier and line number stays, unless an earlier line is within
     ``threshold`` edits. NULL identifiers come last. ``text_mark`` is the text's xxhash64: rows that share an
     identifier are told apart by it, and whole repeated rows share their decisions.
     """
@@ -262,7 +388,7 @@ def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold
 
     def occurrences():
         def of(doc: int | None, mark: int, value: str | None) -> Iterator[tuple]:
-            for number, line in lines_of(value, least if least_equal is None else least_equal):
+            for number, line in lines_of(value, least_equal):
                 yield doc, mark, number, *_identity(line)
 
         return of
@@ -274,12 +400,14 @@ def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold
     place = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "mark", "line")
     first = lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = written(first, "first-lines")
-    pairs = near_pairs(numbered, "text", threshold=threshold, least=least)
+    n_lines = lines.count()
+    pairs = near_pairs(numbered, "text", threshold=threshold, least=least, long_words=long_words, n_lines=n_lines)
     at = lambda s: first.select(F.col("high").alias(f"{s}1"), F.col("low").alias(f"{s}2"), F.col("first").alias(f"{s}_at"))
     placed = pairs.join(at("a"), ["a1", "a2"]).join(at("b"), ["b1", "b2"])
     late = placed.select(F.when(F.col("a_at") > F.col("b_at"), F.struct("a1", "a2")).otherwise(F.struct(F.col("b1").alias("a1"), F.col("b2").alias("a2"))).alias("late"))
     late = late.select(F.col("late.a1").alias("high"), F.col("late.a2").alias("low")).distinct().withColumn("near", F.lit(True))
-    marked = first.join(late, ["high", "low"], "left").where("n > 1 or near")
+    # Written, so that Spark can split the rows of a line that very many documents share.
+    marked = written(first.join(late, ["high", "low"], "left").where("n > 1 or near"), "marked-lines")
     joined = lines.join(marked, ["high", "low"])
     return joined.where(F.col("near").isNotNull() | (place > F.col("first"))).select(
         F.col("doc").alias(identifier), F.col("mark").alias("text_mark"), "line", (~(place > F.col("first"))).alias("near")
