@@ -19,6 +19,7 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of common templates, by what follows their first character.
 _CONTROLS = (r"<(?=\||/?s>|<?/?SYS>>)", r"\[(?=/?INST\])")
 TRAINED_ROLE = "assistant"
+KINDS = ("message", "delta", "edit", "regenerate", "delete")
 EVENT_COLUMNS = ("seq", "kind", "message", "role", "text")
 
 
@@ -36,38 +37,36 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame, conversation: str) -> DataFrame:
     """``conversation, seq, role, text``: each message left at the end, with the seq of its first event.
 
-    An event without a message identifier is a message of its own; without a kind it is a ``message``.
-    Only events from a message's last reset (message, edit, regenerate) on are gathered, in order of seq
-    and, where that ties, of kind and text; the last role given stays. A NULL text is empty, a NULL role is
-    ``''``. Events of unknown kind are ignored. Repeated rows count as often as they occur.
+    The log is dealt out by conversation and sorted by message and seq; nothing is shuffled again up to the rendered
+    conversation. An event without a message identifier is a message of its own, if it brings text; without a kind
+    it is a ``message``. A message's text is what its last reset (message, edit, regenerate) gave it and the deltas
+    after that, in order of seq and, where that ties, deltas first, then by kind and text; the last role given stays. A
+    NULL text is empty, a NULL role is ``''``. Events of unknown kind are ignored. Repeated rows count as often as
+    they occur. Events of a NULL conversation are one conversation; an empty log gives an empty table.
     """
     require(events, conversation, *EVENT_COLUMNS)
     known = events.select(
-        F.col(conversation).alias("conversation"),
+        F.col(f"`{conversation}`").alias("conversation"),
         "seq",
         F.coalesce("kind", F.lit("message")).alias("kind"),
-        F.col("message").cast("string").alias("message"),
+        F.col("message").cast("string").alias("owner"),
         F.col("role").cast("string").alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).where(F.col("kind").isin("message", "delta", "edit", "regenerate", "delete"))
-    alone = known.where("message is null and kind in ('message', 'delta', 'edit')").select("conversation", "seq", F.coalesce("role", F.lit("")).alias("role"), "text")
-    owned = known.where("message is not null").withColumn("sets", F.col("kind") != "delta")
-    step = F.struct("seq", F.col("sets").cast("int").alias("sets"), "kind", "text")
-    # Deltas sort before a reset of the same seq, so the reset wins.
+    ).where(F.col("kind").isin(*KINDS) & (F.col("owner").isNotNull() | F.col("kind").isin("message", "delta", "edit")))
+    own = F.coalesce(F.concat(F.lit("m"), "owner"), F.concat(F.lit("a"), F.monotonically_increasing_id().cast("string")))
+    dealt = known.withColumn("message", own).drop("owner").repartition("conversation").withColumn("sets", (F.col("kind") != "delta").cast("int"))
     message = Window.partitionBy("conversation", "message")
-    live = owned.withColumn("step", step).withColumn("reset", F.max(F.when(F.col("sets"), F.col("step"))).over(message)).withColumn("first", F.min("seq").over(message))
-    live = live.withColumn("who", F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(message))
-    live = live.where(F.col("reset").isNull() | (F.col("step") >= F.col("reset")))
-    folded = live.groupBy("conversation", "message").agg(
+    so_far = message.orderBy("seq", "sets", "kind", "text").rowsBetween(Window.unboundedPreceding, 0)
+    live = dealt.withColumn("epoch", F.sum("sets").over(so_far)).withColumn("last", F.max("epoch").over(message))
+    live = live.withColumn("first", F.min("seq").over(message)).withColumn("who", F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(message))
+    folded = live.where("epoch = last").groupBy("conversation", "message").agg(
         F.min("first").alias("seq"),
         F.max("who.role").alias("role"),
-        F.max("reset").alias("reset"),
-        F.array_sort(F.collect_list("step")).alias("steps"),
+        F.max(F.col("kind") == "delete").alias("gone"),
+        F.array_sort(F.collect_list(F.struct("seq", "sets", "kind", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text")))).alias("steps"),
     )
-    text = F.concat_ws("", F.transform(F.filter("steps", lambda x: ~((x["kind"] == "message") | (x["kind"] == "edit") | (x["kind"] == "regenerate"))), lambda x: x["text"]))
-    base = F.when(F.col("reset.kind") == "regenerate", F.lit("")).otherwise(F.coalesce("reset.text", F.lit("")))
-    folded = folded.where(F.col("reset").isNull() | (F.col("reset.kind") != "delete"))
-    return alone.union(folded.select("conversation", "seq", F.coalesce("role", F.lit("")).alias("role"), F.concat(base, text).alias("text"))).withColumnRenamed("conversation", conversation)
+    # The reset comes first whatever its kind: later events of its epoch are deltas of a greater seq.
+    return folded.where("not gone").select(F.col("conversation").alias(conversation), "seq", F.coalesce("role", F.lit("")).alias("role"), F.array_join("steps.text", "").alias("text"))
 
 
 def render(messages: DataFrame, conversation: str) -> DataFrame:
@@ -76,14 +75,15 @@ def render(messages: DataFrame, conversation: str) -> DataFrame:
 
     A conversation's text is one value of one row, so a conversation must fit in a row (2 GB).
     """
-    turns = messages.withColumn("who", escape(F.col("role"))).withColumn("said", escape(F.col("text")))
+    key = F.col(f"`{conversation}`")
+    turns = messages.select(key.alias("conversation"), "seq", "role", "text", escape(F.col("role")).alias("who"), escape(F.col("text")).alias("said"))
     turns = turns.withColumn("piece", F.concat(F.lit(TURN), F.col("who"), F.lit(TEXT), F.col("said"), F.lit(END)))
-    so_far = Window.partitionBy(conversation).orderBy("seq", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("conversation").orderBy("seq", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     turns = turns.withColumn("stop", (F.sum(F.length("piece")).over(so_far) - len(END)).cast("int"))
-    turn = F.struct("seq", "role", "text", "stop", (F.col("stop") - F.length("said")).alias("start"), "piece")
-    gathered = turns.groupBy(conversation).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    trained = F.filter("turns", lambda t: t["role"] == TRAINED_ROLE)
-    return gathered.select(conversation, F.concat_ws("", "turns.piece").alias("formatted"), F.transform(trained, lambda t: F.struct(t["start"], t["stop"])).alias("loss"))
+    turn = F.struct("stop", (F.col("stop") - F.length("said")).alias("start"), (F.col("role") == TRAINED_ROLE).alias("trained"), "piece")
+    gathered = turns.groupBy("conversation").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    loss = F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop")))
+    return gathered.select(F.col("conversation").alias(conversation), F.concat_ws("", "turns.piece").alias("formatted"), loss.alias("loss"))
 
 
 def parse(formatted: DataFrame, text: str = "formatted", *, turns: str = "turns") -> DataFrame:
@@ -102,12 +102,21 @@ def loss_text(text: Column, loss: Column) -> Column:
 
 
 def from_turns(rows: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
-    """An event log of whole messages, one for each row."""
-    return rows.select(
-        F.col(conversation),
-        F.col(turn).alias("seq"),
-        F.lit("message").alias("kind"),
-        F.lit(None).cast("string").alias("message"),
-        F.col(role).alias("role"),
-        F.col(text).alias("text"),
+    """An event log that folds into one message for each row, as a streaming front end would have written it.
+
+    What the trained role says is begun, streamed, thrown away by a regeneration and streamed again in two
+    deltas; what others say is sent with its second half missing and put right by an edit. ``seq`` is the turn and
+    the event's number in it: rows that share a turn are told apart by their message only. A NULL turn comes first.
+    """
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    own = rows.select(F.col(f"`{conversation}`"), F.col(f"`{turn}`").alias("_turn"), F.col(f"`{role}`").cast("string").alias("_role"), whole.alias("_whole"), F.monotonically_increasing_id().cast("string").alias("message"))
+    half = F.floor(F.length("_whole") / 2).cast("int")
+    begin, rest = F.substring("_whole", F.lit(1), half), F.substring("_whole", half + 1, F.length("_whole"))
+    nothing = F.lit(None).cast("string")
+    event = lambda step, kind, who, said: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), who.alias("role"), said.alias("text"))
+    streamed = F.array(
+        event(0, "message", F.col("_role"), F.lit("")), event(1, "delta", nothing, rest), event(2, "regenerate", nothing, nothing), event(3, "delta", nothing, begin), event(4, "delta", nothing, rest)
     )
+    sent = F.array(event(0, "message", F.col("_role"), begin), event(1, "edit", nothing, F.col("_whole")))
+    log = own.withColumn("_event", F.explode(F.when(F.col("_role") == TRAINED_ROLE, streamed).otherwise(sent)))
+    return log.select(conversation, F.struct(F.col("_turn").alias("turn"), F.col("_event.step").alias("step")).alias("seq"), "_event.kind", "message", "_event.role", "_event.text")
