@@ -124,7 +124,7 @@ class Chunk:
             for back in range(2, depth + 1):
                 own = context
                 context, first = _dense(context << _BITS | ids[at - back])
-                h = _mixed(h[own[first]] ^ (self.words[ids[at[first] - back]] + np.uint64(back)))
+                h = _mixed(_mixed(h[own[first]]) + self.words[ids[at[first] - back]])
             words = ids[at]
         order = np.argsort(h)
         rank = np.empty(len(h), np.int64)
