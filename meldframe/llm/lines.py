@@ -15,6 +15,7 @@ the join, so a line that many documents share costs as much as one.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _BASE = 0xD1342543DE82EF95
 _UNBASE = np.uint64(pow(_BASE, -1, 1 << 64))
 _BASE = np.uint64(_BASE)
-_CHUNK_LINES = 1 << 16
+_CHUNK_LINES, _CHUNK_CHARS = 1 << 16, 1 << 24
 _ENTRIES = "bucket long, a binary, a_mark binary, a_sign binary, b binary, b_mark binary, b_sign binary"
 _MET = "a long, b long, key long, mark long, sign long, probe boolean"
 
@@ -108,19 +109,36 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, ...]:
+    """Powers of the base and of its inverse, from 0 on, and those of their 65,536th powers."""
+    table = lambda base: np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, base, np.uint64)]))
+    low, down = table(_BASE), table(_UNBASE)
+    return low, down, table((low[-1:] * _BASE)[0]), table((down[-1:] * _UNBASE)[0])
+
+
+def _power(which: int, at: np.ndarray) -> np.ndarray:
+    """The powers ``at`` (under 2 ** 32) of the base, or of its inverse."""
+    return _powers()[which][at & 0xFFFF] * _powers()[which + 2][at >> 16]
+
+
 class Symbols:
-    """Lines as runs of symbols, characters or words, with a hash for each of their pieces."""
+    """Lines as runs of symbols, characters or words, with a hash for each of their pieces. Takes about 40 bytes a symbol."""
 
-    def __init__(self, lines: list, sizes: np.ndarray, codes: np.ndarray, salt: int):
+    def __init__(self, sizes: np.ndarray, codes: np.ndarray, salt: int):
         n = len(codes)
         self.sizes, self.salt = sizes, np.uint64(salt)
         self.starts = np.cumsum(sizes) - sizes
-        with np.errstate(over="ignore"):
-            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _UNBASE)]))
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(codes + np.uint64(1)) * powers[:n])])
-        classes = _mixed(codes[:-1] * _MIX[0] + codes[1:] * _MIX[1]) >> np.uint64(58) if n > 1 else codes[:0]
-        bits = np.append(np.uint64(1) << classes, np.zeros(min(n, 1), np.uint64))
+        self.sums = np.zeros(n + 1, np.uint64)
+        powers = _powers()[0]
+        for at in range(0, n, len(powers)):
+            part = _mixed(codes[at : at + len(powers)] + np.uint64(1))
+            part *= powers[: len(part)] * _power(0, np.array([at]))
+            np.cumsum(part, out=part)
+            np.add(part, self.sums[at], out=self.sums[at + 1 : at + 1 + len(part)])
+        bits = np.zeros(n, np.uint64)
+        if n > 1:
+            bits[:-1] = np.uint64(1) << (_mixed(codes[:-1] * _MIX[0] + codes[1:] * _MIX[1]) >> np.uint64(58))
         bits[self.starts[1:] - 1] = 0  # those of two lines
         #: Which of 64 classes of neighbouring symbols a line holds an odd number of times: an edit changes at most ``SIGN_BITS``.
         self.signs = np.bitwise_xor.reduceat(bits, self.starts) if n else np.empty(0, np.uint64)
@@ -128,7 +146,7 @@ class Symbols:
     @classmethod
     def characters(cls, lines: list[str]) -> Symbols:
         codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        return cls(lines, np.fromiter(map(len, lines), np.int64, len(lines)), codes, 1)
+        return cls(np.fromiter(map(len, lines), np.int64, len(lines)), codes, 1)
 
     @classmethod
     def words(cls, lines: list[str], known: dict[str, int]) -> Symbols:
@@ -138,11 +156,11 @@ class Symbols:
         for w in set().union(*split) - known.keys():
             known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         codes = np.fromiter((known[w] for x in split for w in x), np.uint64, sum(map(len, split)))
-        return cls(lines, np.fromiter(map(len, split), np.int64, len(lines)), codes, 2)
+        return cls(np.fromiter(map(len, split), np.int64, len(lines)), codes, 2)
 
     def _hash(self, which: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, part: int) -> np.ndarray:
         begin = self.starts[which] + at
-        piece = (self.sums[begin + size] - self.sums[begin]) * self.down[begin]
+        piece = (self.sums[begin + size] - self.sums[begin]) * _power(1, begin)
         return _mixed(piece ^ _mixed(length.astype(np.uint64) << np.uint64(8) | np.uint64(part) | self.salt << np.uint64(56)))
 
     def index_keys(self, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,13 +251,18 @@ def _entries(least: int, threshold: int, long_words: int, buckets: int):
         marks: list[int] = []
         lines: list[str] = []
 
+        def parts(chosen: np.ndarray) -> list[np.ndarray]:
+            """Some of the lines at a time, of a million characters or a line more."""
+            sizes = np.cumsum(np.array([len(lines[k]) for k in chosen.tolist()], np.int64))
+            return [p for p in np.split(chosen, np.flatnonzero(np.diff(sizes >> 20)) + 1) if len(p)]
+
         def rows() -> pa.RecordBatch:
             mark = np.array(marks, np.int64)
             long = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
             sides: list[list] = [[], []]
             # A pair is compared by characters if the shorter line isn't long; the other can have ``threshold`` words more.
             for chosen, make in ((np.flatnonzero(long < long_words + threshold), Symbols.characters), (np.flatnonzero(long >= long_words), lambda x: Symbols.words(x, known))):
-                if len(chosen):
+                for chosen in parts(chosen):
                     own = make([lines[k] for k in chosen.tolist()])
                     for side, (which, keys) in zip(sides, (own.index_keys(threshold), own.probe_keys(threshold)), strict=True):
                         side.append((keys, mark[chosen[which]], own.signs[which]))
@@ -255,14 +278,17 @@ def _entries(least: int, threshold: int, long_words: int, buckets: int):
             names = [f.split()[0] for f in _ENTRIES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names)
 
+        chars = 0
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 for _, line in lines_of(value, least):
                     mark = _identity(line)[0]
                     if mark not in seen:
                         seen.add(mark), marks.append(mark), lines.append(line)
-                if len(lines) > _CHUNK_LINES:
+                        chars += len(line)
+                if len(lines) > _CHUNK_LINES or chars > _CHUNK_CHARS:
                     yield rows()
+                    chars = 0
                 # A line met again in the same task adds nothing; the set only spares work and starts anew when large.
                 if len(seen) > _LOCAL_LINES:
                     seen.clear()
