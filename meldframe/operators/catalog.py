@@ -6,7 +6,7 @@ import json
 import logging
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,7 +98,8 @@ def keyword_hits(df: DataFrame, table_name: str, keyword: str, *, columns: Itera
     """A row of ``SEARCH`` for each string column with hits. One pass over the table counts all columns.
 
     The samples are the smallest ``sample_rows`` different values with the keyword, so they are the same in
-    every run; each task keeps no more than those.
+    every run. One sample is a minimum, which tasks take before anything is shuffled; for more of them the
+    different values with hits are shuffled by value.
     """
     if not keyword:
         raise ValueError("keyword must not be empty")
@@ -112,12 +113,15 @@ def keyword_hits(df: DataFrame, table_name: str, keyword: str, *, columns: Itera
     needle = F.lit(keyword if case_sensitive else keyword.lower())
     value = lambda c: F.col(quoted(c))
     hit = lambda c: F.coalesce((value(c) if case_sensitive else F.lower(value(c))).contains(needle), F.lit(False))
+    if sample_rows <= 1:
+        found = df.agg(F.array(*(F.struct(F.lit(c).alias("column_name"), F.count_if(hit(c)).alias("match_count"), F.min(F.when(hit(c), value(c))).alias("least")) for c in texts)).alias("x"))
+        each = found.select(F.explode("x").alias("x")).select("x.*").where("match_count > 0")
+        samples = F.array("least") if sample_rows else F.array().cast("array<string>")
+        return each.select(F.lit(table_name).alias("table_name"), "column_name", "match_count", samples.alias("sample_values"))
     cells = F.array(*(F.when(hit(c), F.struct(F.lit(c).alias("column_name"), value(c).alias("value"))) for c in texts))
     hits = df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).select("x.*")
     counted = hits.groupBy("column_name", "value").count()
     counts = counted.groupBy("column_name").agg(F.sum("count").alias("match_count"))
-    from pyspark.sql import Window
-
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))).where(F.col("rank") <= sample_rows)
     samples = ranked.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
     none = F.array().cast("array<string>")

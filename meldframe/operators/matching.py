@@ -69,7 +69,10 @@ def _block_names(blocks: Sequence[str]) -> list[str]:
 
 
 def _ranked(left: DataFrame, right: DataFrame, pairs: DataFrame, keys: Sequence[str], keep_all: bool, distance: str) -> DataFrame:
-    """The rows behind scored pairs of distinct texts, ranked for each left row."""
+    """The rows behind scored pairs of distinct texts, ranked for each left row. For best matches only, right rows of
+    one text are first reduced to that of the smallest identifier, so copies of a text make no rows."""
+    if not keep_all:
+        right = right.groupBy(*keys, "right_norm").agg(F.min(F.struct("right_id", "right_value")).alias("r")).select(*keys, "right_norm", "r.*")
     full = left.join(pairs, [*keys, "left_norm"]).join(right, [*keys, "right_norm"])
     order = Window.partitionBy("left_id").orderBy(F.col("match_score").desc(), F.col("match_distance").asc(), F.col("right_id").asc())
     full = full.withColumn("match_rank", F.row_number().over(order)).withColumn("match_distance", F.col("match_distance").cast(distance))
@@ -197,14 +200,17 @@ def ngram_match(
     """Exact matches by Jaccard similarity of character n-grams.
 
     By the prefix filter, two sets of similarity t share one of the first ``size - ceil(t * size) + 1`` n-grams
-    of either in a fixed order, so only those are joined.
+    of either in a fixed order, so only those are joined. The threshold must be over 0: below, texts without a
+    common n-gram would match too.
     """
     _check(threshold, min_chars, ngram_size=ngram_size)
+    if threshold == 0:
+        raise ValueError("threshold must be over 0")
     lefts, rights, keys = _prepared_ml(left, right, left_on, right_on, left_id, right_id, block_on)
 
     def prefixed(side: DataFrame, norm: str) -> DataFrame:
         tokens = _tokens(side, keys, norm, ngram_size, min_chars).withColumn("grams", F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))))
-        first = F.slice("grams", 1, F.size("grams") - F.ceil(F.size("grams") * F.lit(threshold) - 1e-9).cast("int") + 1) if threshold > 0 else F.col("grams")
+        first = F.slice("grams", 1, F.size("grams") - F.ceil(F.size("grams") * F.lit(threshold) - 1e-9).cast("int") + 1)
         return tokens.withColumn("gram", F.explode(first)).withColumn("grams", F.transform("grams", lambda x: x["g"]))
 
     a = prefixed(lefts, "left_norm").withColumnRenamed("grams", "left_grams")

@@ -7,9 +7,11 @@ on update and are NULL on insert; source columns that the target lacks are an er
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meldframe.functions.naming import free_name, quoted
@@ -36,7 +38,8 @@ def column_map(cols: Iterable[str], prefix: str = "s") -> dict[str, str]:
 
 
 def classified(target: DataFrame, source: DataFrame, on: Sequence[str], matched: Column, unmatched_source: Column, unmatched_target: str, *, evolve_schema: bool = False, skip: Sequence[str] = ()) -> DataFrame:
-    """The rows of both sides with ``_action``, the resolved columns, and ``_before`` of each target row.
+    """A plan: the rows of both sides with their action in the first column, the resolved columns, and the target's row
+    before, if there is one, in the last. The two are called ``_action`` and ``_before`` unless a column is.
 
     ``matched`` and ``unmatched_source`` are actions, as expressions over the source alias ``s``."""
     on = as_list(on)
@@ -46,23 +49,28 @@ def classified(target: DataFrame, source: DataFrame, on: Sequence[str], matched:
     extra = [c for c in columns if c not in target.columns]
     if extra and not evolve_schema:
         raise ValueError(f"the target has no column {', '.join(extra)}")
-    t = target.withColumn("_in_target", F.lit(True)).alias("t")
-    s = source.withColumn("_in_source", F.lit(True)).alias("s")
+    own = {n: free_name(n, target.columns, source.columns) for n in ("_in_target", "_in_source", "_action", "_before")}
+    t = target.withColumn(own["_in_target"], F.lit(True)).alias("t")
+    s = source.withColumn(own["_in_source"], F.lit(True)).alias("s")
     cond = F.lit(True)
     for k in on:
         cond = cond & (F.col(f"t.{quoted(k)}") == F.col(f"s.{quoted(k)}"))
     both = t.join(s, cond, "full_outer")
-    in_t, in_s = F.col("t._in_target").isNotNull(), F.col("s._in_source").isNotNull()
+    in_t, in_s = F.col(f"t.{own['_in_target']}").isNotNull(), F.col(f"s.{own['_in_source']}").isNotNull()
     action = F.when(in_t & in_s, matched).when(in_s, unmatched_source).otherwise(F.lit(unmatched_target))
-    both = both.withColumn("_action", action)
-    takes = F.col("_action").isin("update", "insert")
+    both = both.withColumn(own["_action"], action)
+    takes = F.col(own["_action"]).isin("update", "insert")
     out = []
     for c in [*target.columns, *extra]:
         old = F.col(f"t.{quoted(c)}") if c in target.columns else F.lit(None).cast(source.schema[c].dataType)
         new = F.col(f"s.{quoted(c)}").cast(target.schema[c].dataType) if c in target.columns and c in columns else F.col(f"s.{quoted(c)}") if c in columns else old
         out.append(F.when(takes, new).otherwise(old).alias(c))
-    before = F.when(in_t, F.struct(*(F.col(f"t.{quoted(c)}").alias(c) for c in target.columns))).alias("_before")
-    return both.select("_action", *out, before)
+    before = F.when(in_t, F.struct(*(F.col(f"t.{quoted(c)}").alias(c) for c in target.columns))).alias(own["_before"])
+    return both.select(own["_action"], *out, before)
+
+
+def action_of(plan: DataFrame) -> Column:
+    return F.col(quoted(plan.columns[0]))
 
 
 def check_unambiguous(target: DataFrame, source: DataFrame, on: Sequence[str]) -> None:
@@ -104,11 +112,10 @@ def change_plan(target: DataFrame, changes: DataFrame, on: Sequence[str], *, met
 
 
 def result_of(plan: DataFrame) -> DataFrame:
-    return plan.where(~F.col("_action").isin("delete", "skip")).drop("_action", "_before")
+    return plan.where(~action_of(plan).isin("delete", "skip")).select(*(F.col(quoted(c)) for c in plan.columns[1:-1]))
 
 
-def metrics_of(plan: DataFrame) -> dict[str, int]:
-    counts = {r["_action"]: r["count"] for r in plan.groupBy("_action").count().collect()}
+def _metrics(counts: dict[str, int]) -> dict[str, int]:
     return {
         "numTargetRowsInserted": counts.get("insert", 0),
         "numTargetRowsUpdated": counts.get("update", 0),
@@ -117,23 +124,34 @@ def metrics_of(plan: DataFrame) -> dict[str, int]:
     }
 
 
+def metrics_of(plan: DataFrame) -> dict[str, int]:
+    return _metrics({r["action"]: r["count"] for r in plan.groupBy(action_of(plan).alias("action")).count().collect()})
+
+
+def observed(plan: DataFrame) -> tuple[DataFrame, Observation]:
+    """The plan with its metrics counted while it runs."""
+    seen = Observation()
+    return plan.observe(seen, *(F.count_if(action_of(plan) == a).alias(a) for a in ACTIONS)), seen
+
+
 def changes_of(plan: DataFrame) -> DataFrame:
-    """The plan as a change feed: inserts, deletes, and updates with the row before and after."""
-    columns = [c for c in plan.columns if c not in ("_action", "_before")]
-    before = plan.schema["_before"].dataType.fieldNames()
-    old = [F.col(f"_before.{quoted(c)}").alias(c) if c in before else F.lit(None).cast(plan.schema[c].dataType).alias(c) for c in columns]
-    new = [F.col(quoted(c)) for c in columns]
-    kind = lambda k: F.lit(k).alias(CHANGE)
-    return (
-        plan.where("_action = 'insert'").select(*new, kind("insert"))
-        .union(plan.where("_action = 'delete'").select(*old, kind("delete")))
-        .union(plan.where("_action = 'update'").select(*old, kind("update_preimage")))
-        .union(plan.where("_action = 'update'").select(*new, kind("update_postimage")))
-    )
+    """The plan as a change feed: inserts, deletes, and updates with the row before and after. One pass."""
+    columns, last = plan.columns[1:-1], quoted(plan.columns[-1])
+    before = plan.schema[plan.columns[-1]].dataType.fieldNames()
+    old = F.struct(*(F.col(f"{last}.{quoted(c)}").alias(c) if c in before else F.lit(None).cast(plan.schema[c].dataType).alias(c) for c in columns))
+    new = F.struct(*(F.col(quoted(c)) for c in columns))
+    row = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    action = action_of(plan)
+    rows = F.when(action == "insert", F.array(row("insert", new))).when(action == "delete", F.array(row("delete", old)))
+    rows = rows.when(action == "update", F.array(row("update_preimage", old), row("update_postimage", new)))
+    each = plan.where(action.isin("insert", "delete", "update")).select(F.explode(rows).alias("row"))
+    return each.select("row.value.*", F.col("row.kind").alias(CHANGE))
 
 
 class CatalogTarget:
-    """A catalog table. A merge writes a new copy under another name, then swaps the two names."""
+    """A catalog table. A merge writes its result beside the table, evaluated once and counted on the way, and then
+    overwrites the table's rows: name, location, comment and properties stay. Where the second step fails, the
+    result is still there, and the error names it. Readers need a pause while rows are replaced."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
@@ -142,36 +160,48 @@ class CatalogTarget:
         return self.spark.table(self.name)
 
     def apply(self, plan: DataFrame, operation: str) -> dict[str, int]:
-        metrics = metrics_of(plan)
-        details = {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect()}
-        partitions = [c.name for c in self.spark.catalog.listColumns(self.name) if c.isPartition]
-        copy, old = f"{self.name}__merged", f"{self.name}__before"
-        self.spark.sql(f"DROP TABLE IF EXISTS {copy}")
-        writer = result_of(plan).write.format(details.get("Provider", "parquet")).mode("overwrite")
-        (writer.partitionBy(*partitions) if partitions else writer).saveAsTable(copy)
-        self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {old}")
-        self.spark.sql(f"ALTER TABLE {copy} RENAME TO {self.name}")
-        self.spark.sql(f"DROP TABLE {old}")
-        return metrics
+        details = json.loads(self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name} AS JSON").first()[0])
+        beside = f"{details['location'].rstrip('/')}__{operation}-{uuid.uuid4().hex}"
+        counted, seen = observed(plan)
+        result_of(counted).write.parquet(beside)
+        ready = self.spark.read.schema(result_of(plan).schema).parquet(beside)
+        try:
+            ready.select(*(F.col(quoted(c)) for c in self.read().columns)).write.option("partitionOverwriteMode", "static").insertInto(self.name, overwrite=True)
+        except Exception as error:
+            error.add_note(f"the merged rows of {self.name} are in {beside}")
+            raise
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return _metrics(seen.get)
 
 
 class VersionedTarget:
-    """A versioned folder: a merge is one commit, with its changes and metrics."""
+    """A versioned folder: a merge is one commit, with its changes and metrics. The plan is written once, and all
+    three are made from what was written."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.table = VersionedTable(spark, path)
+        self.base = self.table.version()
 
     def read(self) -> DataFrame:
-        return self.table.read()
+        return self.table.read(self.base)
 
     def apply(self, plan: DataFrame, operation: str) -> dict[str, int]:
-        metrics = metrics_of(plan)
-        self.table.commit(result_of(plan), changes_of(plan), operation, metrics)
+        spark, beside = plan.sparkSession, f"{self.table.path}/m={uuid.uuid4().hex}"
+        counted, seen = observed(plan)
+        counted.write.parquet(beside)
+        ready, metrics = spark.read.schema(plan.schema).parquet(beside), _metrics(seen.get)
+        try:
+            self.table.commit(result_of(ready), changes_of(ready), operation, metrics, base=self.base)
+        finally:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         return metrics
 
 
 class DeltaTarget:
-    """A Delta table, merged by its own engine where that is installed."""
+    """A Delta table, where its engine is installed. A merge replaces the table's rows by the merged ones in one Delta
+    commit: it rewrites the table, as Delta's own MERGE would not."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -180,9 +210,9 @@ class DeltaTarget:
         return self.spark.read.format("delta").load(self.path)
 
     def apply(self, plan: DataFrame, operation: str) -> dict[str, int]:
-        metrics = metrics_of(plan)
-        result_of(plan).write.format("delta").mode("overwrite").save(self.path)
-        return metrics
+        counted, seen = observed(plan)
+        result_of(counted).write.format("delta").mode("overwrite").save(self.path)
+        return _metrics(seen.get)
 
 
 def target_of(spark: SparkSession, name: str):

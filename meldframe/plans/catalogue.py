@@ -208,10 +208,22 @@ def jaccard_pairs(spark, sf_dir):
     return found.where("left_id <> right_id").select("left_id", "right_id", F.round("match_score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+    WITH n AS (SELECT DISTINCT p_name AS name, {_NORM.format('p_name')} AS norm FROM part),
+    g AS (SELECT name, norm, list_distinct([substring(replace(norm, ' ', ''), i, 3) FOR i IN range(1, length(replace(norm, ' ', '')) - 1)]) AS g FROM n),
+    p AS (
+        SELECT a.name AS left_id, b.name AS right_id, a.norm AS left_norm, b.norm AS right_norm,
+            len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS s
+        FROM g a, g b
+    )
+    SELECT left_id, right_id, left_id AS left_value, right_id AS right_value, left_norm, right_norm, round(1 - s, 6) AS match_distance, round(s, 6) AS match_score,
+        row_number() OVER (PARTITION BY left_id ORDER BY s DESC, right_id)::INTEGER AS match_rank
+    FROM p WHERE s >= 0.4
+""")
 def lsh_pairs(spark, sf_dir):
+    """MinHash finds all pairs of this table, so SQL can tell them exactly."""
     names = _names(spark, sf_dir)
-    return ml_fuzzy_match(names, names, left_on="name", right_on="name", left_id="name", right_id="name", threshold=0.4, num_hash_tables=12, keep_all_candidates=True)
+    return _rounded(ml_fuzzy_match(names, names, left_on="name", right_on="name", left_id="name", right_id="name", threshold=0.4, num_hash_tables=12, keep_all_candidates=True))
 
 
 def _target(spark, sf_dir):
@@ -251,7 +263,7 @@ def insert_only(spark, sf_dir):
 """)
 def merge_metrics(spark, sf_dir):
     plan = merge.snapshot_plan(_target(spark, sf_dir), _source(spark, sf_dir), ["o_orderkey"])
-    return plan.agg(*(F.count_if(F.col("_action") == a).alias(n) for a, n in (("update", "updated"), ("insert", "inserted"), ("delete", "deleted"))))
+    return plan.agg(*(F.count_if(merge.action_of(plan) == a).alias(n) for a, n in (("update", "updated"), ("insert", "inserted"), ("delete", "deleted"))))
 
 
 def _feed(spark, sf_dir):
@@ -301,7 +313,8 @@ def sync_decisions(spark, sf_dir):
     return spark.createDataFrame([(*g, *decide(*g)) for g in grid], "last int, dst boolean, current int, mode string, recorded int")
 
 
-_TEXTS = {"part": ("p_name", "p_brand", "p_type"), "customer": ("c_name", "c_mktsegment"), "orders": ("o_orderstatus", "o_orderpriority"), "nation": ("n_name",), "region": ("r_name",), "supplier": ("s_name",), "lineitem": ("l_returnflag", "l_linestatus"), "conversations": ("role",), "pages": ("url",), "events": ("event_type", "props")}
+#: Every string column of every table.
+_TEXTS = {"part": ("p_name", "p_brand", "p_type"), "customer": ("c_name", "c_mktsegment"), "orders": ("o_orderstatus", "o_orderpriority"), "nation": ("n_name",), "region": ("r_name",), "supplier": ("s_name",), "lineitem": ("l_returnflag", "l_linestatus"), "events": ("event_type", "props"), "documents": ("text", "lang", "source"), "benchmark": ("text",), "pages": ("url", "html"), "conversations": ("role", "text")}
 
 
 @query(
@@ -314,7 +327,7 @@ _TEXTS = {"part": ("p_name", "p_brand", "p_type"), "customer": ("c_name", "c_mkt
 def keyword_search(spark, sf_dir):
     found = spark.createDataFrame([], SEARCH)
     for name in _TEXTS:
-        found = found.unionByName(keyword_hits(table(spark, sf_dir, name), name, "ER", columns=_TEXTS[name]))
+        found = found.unionByName(keyword_hits(table(spark, sf_dir, name), name, "ER"))
     return found.select("table_name", "column_name", "match_count", F.element_at("sample_values", 1).alias("sample"))
 
 
@@ -370,7 +383,10 @@ def versioned_changes(spark, sf_dir):
     return merge.read_cdf(_versioned(spark, sf_dir), 1, spark=spark).groupBy("_change_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+    SELECT t AS "table", c AS column_name, i::INTEGER AS ordinal, k AS data_type, true AS nullable, false AS is_partition
+    FROM (VALUES ('nation', 'n_nationkey', 0, 'int'), ('nation', 'n_name', 1, 'string'), ('nation', 'n_regionkey', 2, 'int'), ('region', 'r_regionkey', 0, 'int'), ('region', 'r_name', 1, 'string')) AS x(t, c, i, k)
+""")
 def dictionary(spark, sf_dir):
     """The columns of two tables in a database made for it, which goes again."""
     db = f"meldframe_{uuid.uuid4().hex}"

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from datetime import datetime, timezone
 from typing import Any, NamedTuple, TypedDict
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,8 +92,6 @@ def decide(last: int | None, target_exists: bool, current: int | None) -> tuple[
     return (CURRENT, current) if last == current else (CHANGES, current)
 
 
-
-
 class SyncState:
     """The last synchronized version of each source, in a table."""
 
@@ -187,8 +187,9 @@ def sync_delta_to_table(
 ) -> SyncResult:
     """Brings one target up to its source; the state isn't written.
 
-    Changes are read from the version after the last up to the one recorded. If they can't be read, for
-    instance because they were cleaned up, a snapshot is merged; a failure of the merge itself is raised.
+    Changes are read from the version after the last up to the one recorded, and snapshots as of that one. If Spark
+    can't read the changes, for instance because they were cleaned up, a snapshot is merged; missing keys and a
+    failure of the merge itself are raised.
     """
     spark = get_spark(spark)
     last = state.get(src_key) if last_version is _ASK else last_version
@@ -197,7 +198,10 @@ def sync_delta_to_table(
     metrics = dict(_ZERO)
 
     def snapshot() -> DataFrame:
-        df = clean_columns(Input(src_path, spark=spark).dataframe())
+        source = Input(src_path, spark=spark)
+        if current is not None and source.fmt in ("versioned", "delta"):
+            source = Input(src_path, source.fmt, spark=spark, **{"version" if source.fmt == "versioned" else "versionAsOf": current})
+        df = clean_columns(source.dataframe())
         if missing := [k for k in pks if k not in df.columns]:
             raise ValueError(f"{src_key}: keys missing in the source: {', '.join(missing)}")
         return df
@@ -220,15 +224,15 @@ def sync_delta_to_table(
     elif mode == CHANGES:
         try:
             feed = clean_columns(plain_metadata(read_cdf(src_path, last + 1, recorded, spark=spark), cdf_metadata_cols))
-            if missing := [k for k in pks if k not in feed.columns]:
-                raise ValueError(f"keys missing in the change feed: {', '.join(missing)}")
-            changes = collapse_changes(feed, pks, metadata_cols=cdf_metadata_cols)
-            none = changes.isEmpty()
-        except Exception as error:  # noqa: BLE001  whatever keeps the feed from being read
+            lacking = [k for k in pks if k not in feed.columns]
+            none = not lacking and (changes := collapse_changes(feed, pks, metadata_cols=cdf_metadata_cols)).isEmpty()
+        except (PySparkException, Py4JJavaError) as error:
             log.warning("%s: no change feed (%s); merging a snapshot", src_key, error)
             mode = SNAPSHOT
             metrics |= merged()
         else:
+            if lacking:
+                raise ValueError(f"{src_key}: keys missing in the change feed: {', '.join(lacking)}")
             mode = NO_CHANGES if none else CHANGES
             if not none:
                 target = target_of(spark, dst_table)

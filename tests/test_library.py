@@ -8,7 +8,9 @@ from meldframe.functions.naming import snake_case, unique_names
 from meldframe.operators import merge
 from meldframe.plans import sync
 from meldframe.sources.io import Input, Output, format_of_name
-from meldframe.sources.versions import VersionedTable, current_version
+from meldframe.operators.catalog import keyword_hits
+from meldframe.operators.matching import ngram_match
+from meldframe.sources.versions import CommitConflict, VersionedTable, current_version
 
 
 @pytest.fixture
@@ -262,3 +264,91 @@ def test_decisions():
     assert sync.decide(5, True, 3) == ("snapshot_merge", 3)
     assert sync.decide(3, True, 3) == ("already_current", 3)
     assert sync.decide(3, True, 4) == ("cdf_merge", 4)
+
+
+def test_a_lost_commit_leaves_no_trace(spark, tmp_path):
+    """Two writers start from one version: one wins, and the other's rows and changes are seen nowhere."""
+    path = f"{tmp_path}/t"
+    frame = lambda *rows: spark.createDataFrame(rows, "id long, value string")
+    VersionedTable(spark, path).write(frame((1, "a"), (2, "b")))
+    first, second = merge.target_of(spark, path), merge.target_of(spark, path)
+    assert first.apply(merge.upsert_plan(first.read(), frame((1, "won")), ["id"]), "upsert")["numTargetRowsUpdated"] == 1
+    with pytest.raises(CommitConflict):
+        second.apply(merge.upsert_plan(second.read(), frame((2, "lost"), (9, "lost")), ["id"]), "upsert")
+    table = VersionedTable(spark, path)
+    assert table.version() == 1 and _rows(table.read()) == [(1, "won"), (2, "b")]
+    assert sorted((r["value"], r["_change_type"]) for r in table.changes(1).collect()) == [("a", "update_preimage"), ("won", "update_postimage")]
+    stray = table.vacuum(10, older_than=-3600)
+    assert len(stray) == 2 and _rows(table.read()) == [(1, "won"), (2, "b")] and _rows(table.read(0)) == [(1, "a"), (2, "b")]
+    assert table.changes(0).count() == 4
+
+
+def test_appends_add_folders_and_vacuum_frees_old_ones(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    table = VersionedTable(spark, path)
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, value string")
+    table.write(df, partition_by=["value"])
+    table.write(df.select("value", "id"), "append")
+    info = table.commit_info()
+    assert len(info["data"]) == 2 and info["metrics"] == {"numOutputRows": 2}
+    assert _rows(table.read()) == [(1, "a"), (1, "a"), (2, "b"), (2, "b")] and table.changes(1).count() == 2
+    with pytest.raises(ValueError):
+        table.write(df.drop("value"), "append")
+    table.write(df.limit(0))
+    assert table.read().isEmpty() and table.changes(2).where("_change_type = 'delete'").count() == 4
+    assert len(table.vacuum(1, older_than=-3600)) == 0  # the last overwrite's changes read them all
+    table.write(df)
+    assert len(table.vacuum(1, older_than=-3600)) == 2 and _rows(table.read()) == [(1, "a"), (2, "b")]
+
+
+def test_a_merge_computes_its_source_once_for_the_plan(spark, tmp_path):
+    path, counter = f"{tmp_path}/t", spark.sparkContext.accumulator(0)
+    VersionedTable(spark, path).write(spark.range(100).selectExpr("id", "'old' AS value"))
+
+    def seen(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    source = spark.range(50, 150).selectExpr("id", "'new' AS value").mapInArrow(seen, "id long, value string")
+    assert merge.upsert(path, source, ["id"]) == {"numTargetRowsInserted": 50, "numTargetRowsUpdated": 50, "numTargetRowsDeleted": 0, "numOutputRows": 150}
+    assert counter.value <= 200  # the check for ambiguous keys, and the plan
+
+
+def test_helper_columns_give_way_and_tables_keep_their_properties(spark, db):
+    spark.sql("CREATE TABLE test_db.odd (id BIGINT, _action STRING COMMENT 'own', _before STRING, _in_target STRING) USING parquet COMMENT 'kept' TBLPROPERTIES ('a'='b')")
+    schema = "id long, _action string, _before string, _in_target string"
+    spark.createDataFrame([(1, "x", "y", "z"), (2, "x", "y", "z")], schema).write.insertInto("test_db.odd")
+    metrics = m.snapshot_merge("test_db.odd", spark.createDataFrame([(2, "p", "q", "r"), (3, "p", "q", "r")], schema), ["id"])
+    assert metrics == {"numTargetRowsInserted": 1, "numTargetRowsUpdated": 1, "numTargetRowsDeleted": 1, "numOutputRows": 2}
+    assert _rows(spark.table("test_db.odd")) == [(2, "p", "q", "r"), (3, "p", "q", "r")]
+    told = spark.sql("DESCRIBE TABLE EXTENDED test_db.odd").collect()
+    assert {r["col_name"]: r["data_type"] for r in told}["Comment"] == "kept" and any("a=b" in (r["data_type"] or "") for r in told)
+
+
+def test_best_matches_of_a_hot_text(spark):
+    left = spark.createDataFrame([(i, "acme") for i in range(30)], "id long, name string")
+    right = spark.createDataFrame([(100 + i, "acme") for i in range(30)], "key long, name string")
+    best = m.fuzzy_match(left, right, left_on="name", right_on="name", left_id="id", right_id="key")
+    assert {(r.right_id, r.match_rank) for r in best.collect()} == {(100, 1)} and best.count() == 30
+    with pytest.raises(ValueError):
+        ngram_match(left, right, left_on="name", right_on="name", threshold=0)
+
+
+def test_keys_missing_in_a_feed_are_an_error(spark, db, tmp_path):
+    path = f"{tmp_path}/source"
+    VersionedTable(spark, path).write(spark.createDataFrame([(1, "a")], "id long, value string"))
+    args = {"src_key": "k", "src_path": path, "dst_table": "test_db.fed", "state": sync.SyncState("test_db.state", spark=spark), "spark": spark}
+    assert sync.sync_delta_to_table(pks=["id"], last_version=None, **args)["sync_mode"] == "initial_snapshot"
+    VersionedTable(spark, path).write(spark.createDataFrame([(2, "b")], "id long, value string"), "append")
+    with pytest.raises(ValueError, match="missing"):
+        sync.sync_delta_to_table(pks=["nope"], last_version=0, **args)
+    assert sync.sync_delta_to_table(pks=["id"], last_version=0, **args)["sync_mode"] == "cdf_merge"
+    assert _rows(spark.table("test_db.fed")) == [(1, "a"), (2, "b")]
+
+
+def test_samples_of_a_search(spark):
+    df = spark.createDataFrame([("Beta", 1), ("alpha", 2), ("beta", 3), ("beta", 4), (None, 5)], "word string, n long")
+    hits = lambda k, **o: [(r.match_count, r.sample_values) for r in keyword_hits(df, "t", k, **o).collect()]
+    assert hits("ETA") == [(3, ["Beta"])] and hits("ETA", sample_rows=0) == [(3, [])] and hits("eta", sample_rows=5) == [(3, ["Beta", "beta"])]
+    assert hits("gamma") == [] and hits("Beta", case_sensitive=True) == [(1, ["Beta"])]
