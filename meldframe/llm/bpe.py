@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from meldframe.llm.shared import bounded_batches, require
+from meldframe.llm.shared import bounded_batches, releasing, require
 
 #: Pieces kept encoded between batches; the cache starts anew beyond that.
 CACHE_PIECES = 1 << 18
@@ -246,7 +246,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(ranks_path: str, pattern: str) -> Encoder:
-    """One a worker process, so that tasks share what is encoded."""
+    """One a worker process; a task forgets what it encoded, as later stages need the memory."""
     return Encoder(vocabulary(ranks_path), pattern)
 
 
@@ -287,8 +287,9 @@ def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, *, ids: str
             texts = [t or "" for t in batch.column(at).to_pylist()]
             rows = [x for some in _groups(texts) for x in own.encode(some)]
             yield pa.RecordBatch.from_arrays([*batch.columns, _int_lists(rows)], [*batch.schema.names, ids])
+        own._forget()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))]))
+    return df.mapInArrow(releasing(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))]))
 
 
 def decode(df: DataFrame, ids: str, ranks_path: str, *, data: str = "decoded") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meldframe.llm.shared import delete_scratch, scratch_path
+from meldframe.llm.shared import delete_scratch, kept_table
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round points every node to the smallest node it knows of, in O(log^2 n) rounds on any graph. A
     round's edges are a table in the shared folder, so lineage stays short and a lost executor costs one
-    round. Minima are combined before the shuffle; the joins' hot keys are hubs, whose rows Spark can split.
+    round. Minima are combined before the shuffle and written, so that Spark can split the join's rows of a hub.
     Edges with a NULL end are ignored; a self-loop gives its node as its own root.
     """
     spark = edges.sparkSession
@@ -22,14 +22,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least, least_path = _keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v >= u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, large_path = _keep(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        delete_scratch(spark, least_path)
+        least, least_path = _keep(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         following, following_path = _keep(small.distinct())
-        delete_scratch(spark, path), delete_scratch(spark, large_path)
+        for done in (path, large_path, least_path):
+            delete_scratch(spark, done)
         now, path = following, following_path
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
@@ -39,6 +41,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _keep(df: DataFrame) -> tuple[DataFrame, str]:
-    path = scratch_path(df.sparkSession, "edges")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return kept_table(df, "edges")

@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meldframe.llm.lines import BITMAP, _bitmap
-from meldframe.llm.shared import bounded_batches, free_name, require, written
+from meldframe.llm.shared import bounded_batches, free_name, releasing, require, written
 
 WINDOW = 8
 #: Items of fewer words identify no passage: they count where a line is the item and nothing else.
@@ -39,7 +38,7 @@ COVERAGE = 0.5
 CONSISTENT = 0.5
 #: Windows whose diagonals differ by at most this are one candidate: so many words may be added or left out.
 DRIFT = 3
-_CACHE_WORDS = 1 << 19
+_CACHE_WORDS = 1 << 18
 
 _NUMBER = re.compile(r"[+-]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?\Z", re.IGNORECASE)
 _MEASURED = re.compile(r"([0-9][0-9.,]*)([A-Za-z°]+)\Z")
@@ -140,16 +139,16 @@ class Templates:
         return [self.words.cores[k] for k in self.at[a:b].tolist()]
 
 
-@lru_cache(maxsize=1)
-def _known() -> list[_Words]:
-    return [_Words()]
+class _Reader:
+    """Makes templates for a task: the words it has seen are kept, and begun anew when they are many."""
 
+    def __init__(self) -> None:
+        self.words = _Words()
 
-def _templates(texts: list[str]) -> Templates:
-    """The words a task has seen are kept, and begun anew when they are many."""
-    if len(_known()[0]) > _CACHE_WORDS:
-        _known()[0] = _Words()
-    return Templates(_known()[0], texts)
+    def templates(self, texts: list[str]) -> Templates:
+        if len(self.words) > _CACHE_WORDS:
+            self.words = _Words()
+        return Templates(self.words, texts)
 
 
 def item_sizes(n: int) -> list[tuple[bool, int]]:
@@ -170,8 +169,9 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     schema = T.StructType([kind, *T._parse_datatype_string("size int, template boolean, h long, q int, n int, own array<string>, slots array<boolean>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader()
         for batch in batches:
-            t = _templates([x or "" for x in batch.column(1).to_pylist()])
+            t = reader.templates([x or "" for x in batch.column(1).to_pylist()])
             rows, wanted = [], defaultdict(set)
             for k, n in enumerate(t.sizes.tolist()):
                 for each in item_sizes(n) if n else ():
@@ -200,7 +200,7 @@ def _hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     schema = T.StructType([documents.schema["key"], *T._parse_datatype_string("h long, p int, found array<string>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = maybe.value
+        bits, reader = maybe.value, _Reader()
 
         def possible(h: np.ndarray) -> np.ndarray:
             at = h & np.uint64(BITMAP - 1)
@@ -209,7 +209,7 @@ def _hits(documents: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             rows = []
-            t = _templates(texts)
+            t = reader.templates(texts)
             for template, size in inside:
                 at, h = t.windows(template, size)
                 some = possible(h)
@@ -218,7 +218,7 @@ def _hits(documents: DataFrame, items: DataFrame) -> DataFrame:
                     rows.append((k, x, p - int(t.starts[k]), t.cores(p, p + size)))
             if lines:
                 short = [(k, line) for k, text in enumerate(texts) for line in text.split("\n") if 0 < len(line.split(None, 2 * LEAST_WORDS)) <= 2 * LEAST_WORDS]
-                t = _templates([line for _, line in short])
+                t = reader.templates([line for _, line in short])
                 for size in range(1, LEAST_WORDS):
                     at, h = t.windows(False, size)
                     whole = np.flatnonzero(t.sizes[t.text[at]] == size) if len(at) else at
@@ -229,7 +229,7 @@ def _hits(documents: DataFrame, items: DataFrame) -> DataFrame:
                 which, h, p, found = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(h, pa.int64()), pa.array(p, pa.int32()), pa.array(found, pa.list_(pa.string()))], ["key", "h", "p", "found"])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(releasing(run), schema)
 
 
 def best_candidate(length: int, matches: list[tuple[int, int, list[str], list[str], list[bool]]]) -> tuple[float, int] | None:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meldframe.llm.shared import bounded_batches, free_name, packed, require, unpacked, written
+from meldframe.llm.shared import bounded_batches, free_name, packed, releasing, require, unpacked, written
 
 THRESHOLD = 2
 #: Shorter lines, in code points without outer white space, have no near copies: two edits can make another line of them.
@@ -356,7 +356,7 @@ def near_pairs(
     """
     bounded_batches(documents.sparkSession)
     buckets, limit = n_lines * 15 // bucket_entries + 1, SIGN_BITS * threshold
-    sent = documents.select(F.col(f"`{text}`")).mapInArrow(_entries(least, threshold, long_words, buckets), _ENTRIES)
+    sent = documents.select(F.col(f"`{text}`")).mapInArrow(releasing(_entries(least, threshold, long_words, buckets)), _ENTRIES)
     met = written(sent.groupBy("bucket").applyInArrow(_meet(limit, hot_pairs), _MET), "met-lines")
     pairs = met.where("key is null").select("a", "b").distinct().union(_hot_pairs(met.where("key is not null"), limit))
     pairs = written(pairs.distinct(), "pairs")

@@ -161,19 +161,15 @@ _BRACKET_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.IGNORECASE)
 
 @lru_cache(maxsize=1)
 def _hints() -> ahocorasick.Automaton:
-    """What a disguise must contain, in lower case: a bracket or character code for "at" or "dot" or a said dot,
-    and a spoken digit next to another digit. One pass over the text looks for all of them."""
-    words, signs = sorted(_DIGIT_WORDS), [str(d) for d in range(10)]
-    gaps = (" ", "  ", "-", ", ", " dot ", " punkt ", " punto ", " point ", "[dot]", " [dot] ", "(dot)", " (dot) ")
-    runs = [a + g + b for g in gaps for a in (*words, *signs) for b in (*words, *signs) if len(a) + len(b) > 2]
-    runs += [f"plus{g}{w}" for g in (" ", "-") for w in (*words, *signs)]
+    """What ``_ADDRESS`` and ``_BRACKET_DOT`` need for an edit, in lower case, by their grammar: a bracket or a
+    character code for "at" or "dot", a spaced @, or a said dot. One pass over the text looks for all of them. (Runs
+    have no such gate: two digit words or a spaced dot are in most texts.)"""
     said = ["dot", "punkt", "punto", "point"]
     address = [o + gap + w for o in "[({<" for gap in ("", " ") for w in ("at", "@", "arroba", "ät", ".", *said)]
-    address += ["&#64;", "&#x40;", "&commat;", "%40", " @", "@ ", "&#46;", "&#x2e;", "&period;", *(f" {w} " for w in said)]
+    address += ["&#64;", "&#x40;", "&commat;", "%40", " @", "&#46;", "&#x2e;", "&period;", *(f" {w} " for w in said)]
     found = ahocorasick.Automaton()
-    for kind, keys in ((1, runs), (2, address)):
-        for key in keys:
-            found.add_word(key, kind | found.get(key, 0))
+    for key in address:
+        found.add_word(key, True)
     found.make_automaton()
     return found
 
@@ -239,18 +235,12 @@ def _address_edits(match: re.Match) -> list[tuple[int, int, str]]:
     return [(match.start() + p.start(), match.start() + p.end(), "@" if p.lastgroup == "at" else ".") for p in _ADDRESS_PART.finditer(match[0])]
 
 
-def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
-    hints = 0
-    for _, kind in _hints().iter(text.lower()):
-        hints |= kind
-        if hints == 3:
-            break
+def _disguise_edits(text: str, gated: bool = True) -> list[tuple[int, int, str]]:
     edits = []
-    if hints & 2:
+    if not gated or next(_hints().iter(text.lower()), None):
         edits += [e for m in _ADDRESS.finditer(text) for e in _address_edits(m)]
         edits += [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text)]
-    if hints & 3:
-        edits += [e for m in _RUN.finditer(text) for e in _run_edits(m)]
+    edits += [e for m in _RUN.finditer(text) for e in _run_edits(m)]
     last, kept = 0, []
     for edit in sorted(edits):
         if edit[0] >= last and edit[1] > edit[0]:
@@ -259,13 +249,14 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
-def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """The plain spans by kind, and all spans: with those behind disguises that don't touch a plain one of their kind."""
+def find(text: str, gated: bool = True) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
+    """The plain spans by kind, and all spans: with those behind disguises that touch no plain one of their kind, and
+    those that hold all of each plain one that they touch (a disguise hid where it begins or ends)."""
     base = plain_spans(text)
     edits = _glyph_edits(text)
     first = Rewritten(text, edits) if edits else None
     between = first.text if first else text
-    more = _disguise_edits(between)
+    more = _disguise_edits(between, gated)
     if not first and not more:
         return base, base
     second = Rewritten(between, more) if more else None
@@ -279,10 +270,11 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
                 span = second.source(span)
             if first:
                 span = first.source(span)
-            k = bisect.bisect_right(taken, span)
-            if not (k and taken[k - 1][1] > span[0]) and not (k < len(taken) and taken[k][0] < span[1]):
+            first_met = bisect.bisect_right(taken, span[0], key=lambda x: x[1])
+            touched = taken[first_met : bisect.bisect_left(taken, span[1], key=lambda x: x[0])]
+            if all(span[0] <= a and b <= span[1] and (a, b) != span for a, b in touched):
                 spans.append(span)
-        result[kind] = sorted(spans)
+        result[kind] = sorted(set(spans))
     return base, result
 
 

@@ -139,8 +139,9 @@ def fit(
     """Rules for the rows whose boolean ``good`` is false, learned by sequential covering.
 
     Two thirds of the rows, by a hash of ``fold_key``, grow each rule: the test of the largest gain is added
-    until no good row is left or ``most_tests`` stand. The rest prune it: last tests go while that doesn't
-    lower the precision. A rule counts if both parts give it ``precision`` and it has ``support`` rows.
+    until no good row is left or ``most_tests`` stand; a test that a later one implies goes. The rest prune it: the
+    test goes whose loss leaves the best precision, as long as that doesn't lower it. A rule counts if both parts
+    give it ``precision`` and it has ``support`` rows. Ties go to the first measure, the lowest bound, and ``>=``.
     Rows with a NULL ``good`` or without words are left out; without rows the list is empty.
     """
     values = {m: f(F.col) for m, f in MEASURES.items()}
@@ -183,9 +184,14 @@ def fit(
                 break
             rule.append(best[1])
             inside = [x for x in inside if holds(x[0], best[1])]
+        implied = lambda t, u: t != u and t[0] == u[0] and t[2] == u[2] and (u[1] > t[1] if t[2] else u[1] < t[1])
+        rule = [t for t in rule if not any(implied(t, u) for u in rule)]
         share = lambda bo: (bo[0] + 1) / (sum(bo) + 2)
-        while len(rule) > 1 and share(covered(prune, rule[:-1])) >= share(covered(prune, rule)):
-            rule.pop()
+        while len(rule) > 1:
+            shorter = max(([u for u in rule if u != t] for t in rule), key=lambda r: share(covered(prune, r)))
+            if share(covered(prune, shorter)) < share(covered(prune, rule)):
+                break
+            rule = shorter
         if not rule:
             break
         (b, o), (pb, po) = covered(grow, rule), covered(prune, rule)
@@ -213,7 +219,8 @@ def judge(documents: DataFrame, text: str, rules: DecisionList) -> DataFrame:
 
 
 def learned(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000) -> DecisionList:
-    """The list learned from ``labels``, whose ``label`` is 1 for good documents."""
+    """The list learned from ``labels``, whose ``label`` is 1 for good documents, on documents that the base rule passes."""
     chosen = labels.select(key, (F.col(label) == 1).alias("good"))
     sample = labelled_sample(documents.select(key, text), chosen, key, max_rows=max_rows)
-    return fit(written(text_counts(sample, text).drop(text), "labelled"), "good", key)
+    counted = written(text_counts(sample, text).drop(text), "labelled")
+    return fit(counted.where(~base_failed()), "good", key)

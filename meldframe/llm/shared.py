@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +95,33 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc(), "malloc_trim", None):
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except (OSError, TypeError):
+        return None
+
+
+def releasing(run):
+    """A function of batches that releases memory at its task's end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     used = {c.lower() for c in taken}
     while wanted.lower() in used:

@@ -104,7 +104,9 @@ _NEIGHBOURS = (
 def links(distinct: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
     """``a, b``: edges between distinct fingerprints, each within two differing bits, whose components are
     those of all such pairs."""
-    points = distinct.select(F.col(fingerprint).alias("f")).withColumn("p", embedding(F.col("f")))
+    # Dealt out before the rows multiply: Spark judges the number of tasks by the few bytes of the fingerprints.
+    spread = distinct.select(F.col(fingerprint).alias("f")).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
+    points = spread.withColumn("p", embedding(F.col("f")))
     cells = points.select("f", F.explode(_cells(F.col("p"))).alias("c")).select("f", "c.cell", "c.segment", "c.by")
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     candidates = cells.join(shared, "cell", "left_semi")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meldframe.llm.shared import delete_scratch, free_name, kept_table, packed, require, session_settings, unpacked
+from meldframe.llm.shared import delete_scratch, free_name, kept_table, packed, releasing, require, session_settings, unpacked
 
 #: A chunk has fewer positions than this; a longer text is cut into pieces, over whose bounds contexts don't reach.
 CHUNK_WORDS = (1 << 20) - 2
@@ -343,12 +343,12 @@ def score(
     spark, kind = documents.sparkSession, documents.schema[identifier].dataType
     plain = documents.select(F.col(f"`{identifier}`").cast("string").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text}`").cast("string").cast("binary").alias("data"))
     with session_settings(spark, _SETTINGS | {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}):
-        state, path = kept_table(plain.mapInArrow(_cut(chunk_words), _STATE), "lm-chunks", **_OPTIONS)
+        state, path = kept_table(plain.mapInArrow(releasing(_cut(chunk_words)), _STATE), "lm-chunks", **_OPTIONS)
     trained = different = depth = 0
     with session_settings(spark, _SETTINGS):
         while (here := state.agg(F.sum("asked").alias("asked"), F.sum("salted").alias("salted")).first())["asked"]:
             buckets = here["asked"] // bucket_entries + 1
-            sent = state.select("chunk", "docs", "rows", "held", "sizes", "words", "ids", "often", "hot", "alive", "chances", "asked").mapInArrow(_sent(depth, buckets), _ASKED)
+            sent = state.select("chunk", "docs", "rows", "held", "sizes", "words", "ids", "often", "hot", "alive", "chances", "asked").mapInArrow(releasing(_sent(depth, buckets)), _ASKED)
             answers, answers_path = kept_table(sent.groupBy("bucket").applyInArrow(_answered(depth, least_gain), _ANSWERS), "lm-answers", **_OPTIONS)
             hot = (np.empty(0, np.int64),) * 4
             if depth == 0:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meldframe.llm.shared import bounded_batches, require
+from meldframe.llm.shared import bounded_batches, require, written
 
 #: A worker holds at most an Arrow batch of chunks: 512 of them.
 CHUNK_BYTES = 1 << 16
@@ -54,14 +54,16 @@ def decide(pages: DataFrame, record: str, payload: str, uri: str) -> DataFrame:
     the smallest record is the response and the others revisit it; shorter payloads are all responses.
 
     A NULL payload is empty. Repeated rows of the smallest record are all responses; a NULL record is never
-    the smallest, and where all are NULL all are responses. Minima are combined before the shuffle by digest,
-    and the join's hot digests, copies of one page, are rows that Spark can split.
+    the smallest, and where all are NULL all are responses. Digests that occur once need no join's answer: the
+    smallest records of the others are combined before the shuffle and written, so that Spark can split the rows of
+    a digest that very many copies share, or send so few digests to the payloads. Other columns aren't read.
     """
     require(pages, record, payload, uri)
     data = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit("").cast("binary"))
     own = pages.select(F.col(f"`{record}`").cast("long").alias("record"), F.col(f"`{uri}`").cast("string").alias("uri"), data.alias("data"))
     own = own.withColumns({"bytes": F.octet_length("data").cast("long"), "digest": F.sha2("data", 256)})
-    first = own.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("record").alias("first"))
+    first = own.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("record").alias("first"), F.count("*").alias("n"))
+    first = written(first.where("n > 1").select("digest", "first"), "first-records")
     joined = own.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("record"))
     return joined.select(
@@ -124,7 +126,8 @@ class _Archive:
 
 
 def write_archives(chunked: DataFrame, folder: str, *, level: int = 1, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the rows of ``chunks`` and returns a row ``archive, records, bytes`` for each archive.
+    """Writes the rows of ``chunks`` and returns a row ``archive, records, bytes`` for each archive. Rows of a record
+    that don't follow each other in order are an error.
 
     The result is lazy and must be evaluated once: each evaluation writes archives of its own.
     """
@@ -132,18 +135,23 @@ def write_archives(chunked: DataFrame, folder: str, *, level: int = 1, archive_b
     columns = ["record", "uri", "data", "bytes", "digest", "type", "refers_to", "of", "chunk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, archive = [], None
+        done, archive, awaited = [], None, (0, None)
         for batch in batches:
             for row in batch.to_pylist():
+                if (row["chunk"], row["chunk"] and row["record"]) != (awaited[0], awaited[0] and awaited[1]):
+                    raise ValueError(f"chunk {row['chunk']} of record {row['record']} isn't where it should be: the rows of a record must follow each other")
                 if row["chunk"] == 0:
                     archive = archive or _Archive(folder, level)
                     archive.begin(_header(row))
                 archive.add(row["data"])
-                if row["chunk"] == row["of"] - 1:
+                awaited = ((row["chunk"] + 1) % row["of"], row["record"])
+                if not awaited[0]:
                     archive.end()
                     if archive.size >= archive_bytes:
                         done.append(archive.close())
                         archive = None
+        if awaited[0]:
+            raise ValueError(f"record {awaited[1]} lacks chunks from {awaited[0]} on")
         if archive:
             done.append(archive.close())
         names, records, sizes = (list(x) for x in zip(*done, strict=True)) if done else ([], [], [])
@@ -208,15 +216,15 @@ def _records(source: _Bytes, chunk_bytes: int) -> Iterator[tuple]:
             name, _, value = line.partition(b":")
             headers[name.strip().lower().decode()] = value.strip().decode()
         urn = lambda key: int(v) if (v := headers.get(key, "").strip("<>").rpartition(":")[2]) else None
-        left, sha, number = int(headers["content-length"]), hashlib.sha256(), 0
+        left, sha, number, size = int(headers["content-length"]), hashlib.sha256(), 0, 0
         kind, declared = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
         while True:
             data = source.run(min(left, chunk_bytes))
-            left -= len(data)
+            left, size = left - len(data), size + len(data)
             sha.update(data)
             digest = sha.hexdigest()
             intact = (kind == "revisit" or digest == declared) if not left else None
-            yield urn("warc-record-id"), number, data, digest, not left, intact, kind, urn("warc-refers-to"), int(headers["x-payload-length"]), declared, headers.get("warc-target-uri")
+            yield urn("warc-record-id"), number, data, digest, not left, intact, kind, urn("warc-refers-to"), int(headers["x-payload-length"]) if kind == "revisit" else size, declared, headers.get("warc-target-uri")
             number += 1
             if not left:
                 break
@@ -227,6 +235,7 @@ def _records(source: _Bytes, chunk_bytes: int) -> Iterator[tuple]:
 def read_chunks(archives: DataFrame, folder: str, *, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
     """The rows of ``RECORD`` of the archives named in the column ``archive``: an archive is read by one task,
     a chunk at a time. ``intact``, on a record's last row, says if the payload has the declared digest.
+    ``payload_bytes`` counts the bytes read so far; of a revisit, whose payload isn't there, it is the header's.
 
     A damaged archive is an error. ``with_data=False`` reads and digests the payloads but leaves them out.
     """

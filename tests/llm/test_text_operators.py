@@ -166,6 +166,39 @@ def test_quality_rules_are_learned(documents, babble, spark):
     assert not quality.learned(documents(rows), labels.limit(0)).rules
 
 
+def test_the_learner_takes_the_best_test_of_all(spark):
+    """One test a rule, held against a search through all thresholds; and no test that another of its rule implies."""
+    import math
+
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        words, symbols, repeated = r.randint(10, 60), r.randint(0, 30), r.randint(0, 5)
+        rows.append((i, symbols < 0.3 * words or r.random() < 0.1, words, words * r.randint(3, 6), symbols, 0, repeated))
+    counts = spark.createDataFrame(rows, "key long, good boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    (rule,) = quality.fit(counts, "good", "key", bins=8, most_tests=1, most_rules=1, precision=0.5).rules
+    values = {m: f(F.col) for m, f in quality.MEASURES.items()}
+    grow = [x for x in counts.select("good", (F.pmod(F.xxhash64("key"), F.lit(3)) == 0).alias("prune"), *(v.alias(m) for m, v in values.items())).collect() if not x.prune]
+    bounds = counts.agg(*(F.percentile_approx(v, F.array(*(F.lit(i / 8) for i in range(1, 8))), 10_000).alias(m) for m, v in values.items())).first()
+    before = math.log2(sum(not x.good for x in grow) / len(grow))
+
+    def gain(m, bound, above):
+        inside = [x for x in grow if (x[m] >= bound) == above]
+        bad = sum(not x.good for x in inside)
+        return bad * (math.log2(bad / len(inside)) - before) if bad else 0.0
+
+    best = max(gain(m, b, above) for m in values for b in bounds[m] for above in (True, False))
+    assert gain(rule[0].measure, rule[0].bound, rule[0].above) == pytest.approx(best) and best > 0
+    for rule in quality.fit(counts, "good", "key", bins=8, precision=0.6).rules:
+        assert len({(t.measure, t.above) for t in rule}) == len(rule)
+
+
+def test_rules_are_learned_on_what_the_base_rule_passes(documents, babble, spark):
+    rows = [(i, babble(i, 40)) for i in range(60)] + [(100 + i, "same words here " * 20) for i in range(60)]
+    labels = spark.createDataFrame([(d, int(d < 100)) for d, _ in rows], "doc_id long, quality int")
+    assert not quality.learned(documents(rows), labels).rules  # the base rule has every bad one
+
+
 def test_language(documents):
     en = "the cat sat on the mat and then the other thing that they thought was there "
     de = "der hund und die katze sind nicht mehr hier aber sie werden wieder kommen "
@@ -251,6 +284,32 @@ def test_disguises_map_back(text, kind, source):
     assert base[kind] == []
 
 
+def test_a_disguise_inside_a_plain_span_widens_it():
+    text = "to jоhn@example.com, please"  # the first o is Cyrillic
+    base, found = pii.find(text)
+    assert [text[a:b] for a, b in base["email"]] == ["hn@example.com"]
+    assert [text[a:b] for a, b in found["email"]] == ["jоhn@example.com", "hn@example.com"]
+    for text, kind in (("+five,five,five,one,two,three,four,five", "phone"), ("one.two.three.four", "ip"), ("192dot168dot1dot20", "ip"), ("double one double one double one double one double one double one double one double one", "card")):
+        pii.find(text)
+    assert [k for k, v in pii.find("see 192dot168dot1dot20 there")[1].items() if v] == ["ip"]
+    assert [k for k, v in pii.find("four,one,one,one,one,one,one,one,one,one,one,one,one,one,one,one")[1].items() if v] == ["card"]
+
+
+def test_the_gate_loses_nothing_and_spans_lie_in_the_text():
+    r = random.Random(12)
+    parts = ["john", "doe", "example", "com", " at ", " dot ", "[at]", "( at )", "<AT>", "@", " @ ", "&#64;", "&#x2E;", "%40", "[.]", ".", " . ", "{punkt}", "(Point)", " punto ", "one", "Two", "drei", "cinq", "double ", "triple-", "plus ", "+", ",", " - ", "--", " ", "7", "192", "168", "а", "օ", "１", "é", "\u200b", "arroba", " ät "]
+    some = 0
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        base, found = pii.find(text)
+        assert (base, found) == pii.find(text, gated=False)
+        assert base == _plain(text)
+        for kind in pii.KINDS:
+            assert set(base[kind]) <= set(found[kind]) and all(0 <= a < b <= len(text) for a, b in found[kind])
+            some += len(set(found[kind]) - set(base[kind]))
+    assert some > 100
+
+
 def test_plain_prose_has_no_spans(documents):
     for text in ("look at example.com today", "one or two of the three at noon", "He was at home. Dot.", "Der Punkt ist klar"):
         assert not any(pii.find(text)[1].values())

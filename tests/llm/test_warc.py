@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meldframe.llm import warc
-from meldframe.llm.shared import written
+from meldframe.llm.shared import session_settings, written
 
 PAGES = "page_id long, url string, html string, data string"
 
@@ -51,3 +51,32 @@ def test_empty_table_and_damage(spark, tmp_path):
     path.write_bytes(path.read_bytes()[:-40])
     with pytest.raises(Exception, match="ends inside"):
         read.collect()
+
+
+def test_chunks_out_of_place_are_an_error(spark, tmp_path):
+    rows = [(i, "u", f"{i}" * 500, "own") for i in range(4)]
+    chunked = warc.chunks(warc.decide(spark.createDataFrame(rows, PAGES), "page_id", "html", "url"), chunk_bytes=100).coalesce(1)
+    for broken in (chunked.orderBy("chunk"), chunked.where("chunk <> 2"), chunked.where("chunk < 4"), chunked.where("not (record = 1 and chunk = 0)")):
+        with pytest.raises(Exception, match="isn't where it should be|lacks chunks"):
+            warc.write_archives(broken, f"file://{tmp_path}/warc").collect()
+
+
+def test_a_hot_digest_is_split(spark, tmp_path):
+    """Copies of one page make most rows; the join's final plan deals their partition out to several tasks."""
+    rows = [(i, "u", ("same page " * 60 if i % 3 else f"page {i} " * 60), "own") for i in range(6000)]
+    spark.createDataFrame(rows, PAGES).repartition(8).write.parquet(f"{tmp_path}/pages")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    with session_settings(spark, settings):
+        joined = warc.decide(spark.read.parquet(f"{tmp_path}/pages"), "page_id", "html", "url")
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "isSkew=true" in joined._jdf.queryExecution().executedPlan().toString() or "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.where("type = 'revisit' and refers_to = 1").count() == 3999
