@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from meldframe.llm.shared import bounded_batches, free_name, packed, releasing, require, unpacked, written
 
@@ -36,14 +38,14 @@ SIGN_BITS = 4
 #: Lines of so many words or more are compared by words.
 LONG_WORDS = 40
 #: Entries of a bucket, about, and comparisons from which a key is split up.
-BUCKET_ENTRIES, HOT_PAIRS = 1 << 20, 1 << 22
+BUCKET_ENTRIES, HOT_PAIRS = 1 << 20, 1 << 21
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _BASE = 0xD1342543DE82EF95
 _UNBASE = np.uint64(pow(_BASE, -1, 1 << 64))
 _BASE = np.uint64(_BASE)
 _CHUNK_LINES, _CHUNK_CHARS = 1 << 16, 1 << 24
 _ENTRIES = "bucket long, a binary, a_mark binary, a_sign binary, b binary, b_mark binary, b_sign binary"
-_MET = "a long, b long, key long, mark long, sign long, probe boolean"
+_MET = "key long, mark long, sign long, hot boolean"
 
 
 def edit_distance_within(a: Sequence, b: Sequence, most: int) -> bool:
@@ -210,28 +212,28 @@ def lines_of(text: str | None, least: int = LEAST_CHARS) -> Iterator[tuple[int,
             yield number, line
 
 
-def _mapped(df: DataFrame, names: list[str], rows, schema: str) -> DataFrame:
+def _mapped(df: DataFrame, names: list[str], rows, schema: str | T.StructType) -> DataFrame:
     """``rows(values...)`` of each row of the columns ``names``, flattened, a bounded number at a time."""
     bounded_batches(df.sparkSession)
-    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    fields = [f.split() for f in schema.split(", ")]
-    target = pa.schema([(n, types[t]) for n, t in fields])
+    kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = rows()
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
         for batch in batches:
-            out: list[list] = [[] for _ in fields]
+            out: list[list] = [[] for _ in target]
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for row in own(*values):
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 if len(out[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
-                    out = [[] for _ in fields]
+                    yield made(out)
+                    out = [[] for _ in target]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
+                yield made(out)
 
-    return df.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, kind)
 
 
 def near_lines(a: str, b: str, threshold: int, long_words: int) -> bool:
@@ -299,96 +301,124 @@ def _entries(least: int, threshold: int, long_words: int, buckets: int):
 
 
 def _meet(limit: int, hot_pairs: int):
-    """The pairs of a bucket: lines that meet under a key and whose signatures allow it. Keys under which too many
-    would be compared are put out line by line."""
+    """The lines of a bucket that meet another under a key whose signature allows that they are near, once a key. Of
+    keys under which too many would be compared all lines are put out, as ``hot``."""
 
-    def once(table: pa.Table, side: str) -> list[np.ndarray]:
-        each = lambda name, kind: np.concatenate([unpacked(x, kind) for x in table[name].to_pylist()])
-        key, mark, sign = each(side, np.uint64), each(f"{side}_mark", np.int64), each(f"{side}_sign", np.uint64)
-        _, first = np.unique(_mixed(key) ^ mark.view(np.uint64), return_index=True)
+    def once(*columns: np.ndarray) -> list[np.ndarray]:
+        key, mark = columns[:2]
+        first = np.unique(_mixed(key) ^ mark.view(np.uint64), return_index=True)[1]
         first = first[np.argsort(key[first], kind="stable")]
-        return [x[first] for x in (key, mark, sign)]
+        return [x[first] for x in columns]
 
     def run(table: pa.Table) -> pa.Table:
-        (a, a_mark, a_sign), (b, b_mark, b_sign) = once(table, "a"), once(table, "b")
+        each = lambda name, kind: np.concatenate([unpacked(x, kind) for x in table[name].to_pylist()])
+        (a, a_mark, a_sign), (b, b_mark, b_sign) = (once(each(s, np.uint64), each(f"{s}_mark", np.int64), each(f"{s}_sign", np.uint64)) for s in "ab")
         low, high = np.searchsorted(a, b), np.searchsorted(a, b, side="right")
         met = np.flatnonzero(high > low)
         b, b_mark, b_sign, low, size = b[met], b_mark[met], b_sign[met], low[met], (high - low)[met]
         _, where, probes = np.unique(b, return_inverse=True, return_counts=True)
         heavy = size * probes[where] > hot_pairs
-        found, plain = [], np.flatnonzero(~heavy)
+        left_met, right_met, plain = np.zeros(len(a), bool), np.zeros(len(b), bool), np.flatnonzero(~heavy)
         ends = np.cumsum(size[plain])
         for part in np.split(plain, np.searchsorted(ends, np.arange(hot_pairs, int(ends[-1]) if len(ends) else 0, hot_pairs))):
             n = size[part]
             left = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             right = np.repeat(part, n)
             near = (np.bitwise_count(a_sign[left] ^ b_sign[right]) <= limit) & (a_mark[left] != b_mark[right])
-            found.append((a_mark[left[near]], b_mark[right[near]]))
-        x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-        hot = np.flatnonzero(np.isin(a, np.unique(b[heavy])))
-        rows = [(a[hot], a_mark[hot], a_sign[hot]), (b[heavy], b_mark[heavy], b_sign[heavy])]
-        key, mark, sign = (np.concatenate(c) for c in zip(*rows, strict=True))
-        blank, none = pa.nulls(len(x), pa.int64()), pa.nulls(len(key), pa.int64())
-        both = lambda first, second: pa.concat_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())])
-        probe = pa.concat_arrays([pa.nulls(len(x), pa.bool_()), pa.array(np.arange(len(key)) >= len(hot))])
-        return pa.Table.from_arrays([both(x, none), both(y, none), both(blank, key.view(np.int64)), both(blank, mark), both(blank, sign.view(np.int64)), probe], ["a", "b", "key", "mark", "sign", "probe"])
+            left_met[left[near]] = right_met[right[near]] = True
+        crowded = np.isin(a, np.unique(b[heavy]))
+        groups = []
+        for left, right, hot in ((left_met, right_met, False), (crowded, heavy, True)):
+            both = [np.concatenate(x) for x in ((a[left], b[right]), (a_mark[left], b_mark[right]), (a_sign[left], b_sign[right]))]
+            groups.append([*once(*both), hot])
+        key, mark, sign = (np.concatenate([g[k] for g in groups]) for k in range(3))
+        hot = np.repeat([g[3] for g in groups], [len(g[0]) for g in groups])
+        return pa.Table.from_arrays([pa.array(key.view(np.int64)), pa.array(mark), pa.array(sign.view(np.int64)), pa.array(hot)], ["key", "mark", "sign", "hot"])
 
     return run
 
 
-def _hot_pairs(hot: DataFrame, limit: int) -> DataFrame:
-    """The pairs under keys that very many lines share. Signatures that differ in at most ``limit`` bits agree in one
-    of ``limit + 1`` pieces, so lines meet under key and piece."""
+def _members(met: DataFrame, limit: int) -> DataFrame:
+    """``key, mark, sign``. Signatures that differ in at most ``limit`` bits agree in one of ``limit + 1`` pieces, so a
+    hot key is replaced by keys of itself and each piece."""
     width = 64 // (limit + 1)
-    piece = F.expr(f"shiftrightunsigned(sign, piece * {width}) & {(1 << width) - 1}L")
-    parts = hot.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(limit)))).withColumn("bits", piece)
-    side = lambda probe, s: parts.where(F.col("probe") == F.lit(probe)).select("key", "piece", "bits", F.col("mark").alias(s), F.col("sign").alias(f"{s}_sign"))
-    near = (F.bit_count(F.col("a_sign").bitwiseXOR(F.col("b_sign"))) <= limit) & (F.col("a") != F.col("b"))
-    return side(False, "a").join(side(True, "b"), ["key", "piece", "bits"]).where(near).select("a", "b").distinct()
-
-
-def near_pairs(
-    documents: DataFrame, text: str, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, long_words: int = LONG_WORDS, n_lines: int, bucket_entries: int = BUCKET_ENTRIES, hot_pairs: int = HOT_PAIRS
+    parts = met.where("hot").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(limit))))
+    own = F.xxhash64("key", "piece", F.expr(f"shiftrightunsigned(sign, piece * {width}) & {(1 << width) - 1}L"))
+    return met.where("not hot").select("key", "mark", "sign").union(parts.select(own.alias("key"), "mark", "sign"))
+
+
+def late_lines(
+    documents: DataFrame,
+    text: str,
+    first: DataFrame,
+    *,
+    threshold: int = THRESHOLD,
+    least: int = LEAST_CHARS,
+    long_words: int = LONG_WORDS,
+    n_lines: int,
+    bucket_entries: int = BUCKET_ENTRIES,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
-    """``a1, a2, b1, b2``: the 128-bit identities of each two different lines that are near (see ``near_lines``).
+    """``high, low``: the identities of the lines that are near (see ``near_lines``) an earlier line. ``first`` has
+    the place of each line's first occurrence (high, low, first); ``n_lines`` sets the number of buckets.
 
-    ``n_lines`` sets the number of buckets. Keys are sent in packed arrays, not as rows.
+    First each line is compared to the earliest under each of its keys: in a group of near lines that settles all but
+    the first, in rows that grow as the group. Only what isn't settled is compared to every earlier line that it may
+    be near to.
     """
     bounded_batches(documents.sparkSession)
     buckets, limit = n_lines * 15 // bucket_entries + 1, SIGN_BITS * threshold
     sent = documents.select(F.col(f"`{text}`")).mapInArrow(releasing(_entries(least, threshold, long_words, buckets)), _ENTRIES)
     met = written(sent.groupBy("bucket").applyInArrow(_meet(limit, hot_pairs), _MET), "met-lines")
-    pairs = met.where("key is null").select("a", "b").distinct().union(_hot_pairs(met.where("key is not null"), limit))
-    pairs = written(pairs.distinct(), "pairs")
+    places = first.groupBy(F.col("high").alias("mark")).agg(F.min("first").alias("place"))
+    members = written(_members(met, limit).join(places, "mark"), "members")
 
-    wanted = written(pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).distinct(), "wanted")
+    wanted = written(members.select("mark").distinct(), "wanted")
     maybe = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def texts():
-        bits = maybe.value
+        bits, seen = maybe.value, set()
 
         def of(value: str | None) -> Iterator[tuple[int, int, int, str]]:
+            if len(seen) > _LOCAL_LINES:
+                seen.clear()
             for _, line in lines_of(value, least):
                 high, low = _identity(line)
                 at = high & (BITMAP - 1)
-                if int(bits[at >> 6]) >> (at & 63) & 1:
+                if int(bits[at >> 6]) >> (at & 63) & 1 and high not in seen:
+                    seen.add(high)
                     yield high, high, low, line
 
         return of
 
     found = _mapped(documents, [text], texts, "mark long, high long, low long, line string")
     found = written(found.join(wanted, "mark", "left_semi").dropDuplicates(["high", "low"]), "lines")
-    side = lambda s: found.select(F.col("mark").alias(s), F.col("high").alias(f"{s}1"), F.col("low").alias(f"{s}2"), F.col("line").alias(f"{s}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a1", "a2", "b1", "b2", "a_line", "b_line")
 
     def check():
-        def of(a1, a2, b1, b2, a, b):
+        def of(high, low, a, b):
             if near_lines(a, b, threshold, long_words):
-                yield a1, a2, b1, b2
+                yield high, low
 
         return of
 
-    return _mapped(both, both.columns, check, "a1 long, a2 long, b1 long, b2 long")
+    def near(pairs: DataFrame) -> DataFrame:
+        """The later lines of the ``pairs`` (a, b) that are near, b being the later."""
+        early = found.select(F.col("mark").alias("a"), F.col("line").alias("a_line"))
+        both = pairs.join(early, "a").join(found.withColumnRenamed("mark", "b"), "b").select("high", "low", "a_line", "line")
+        return written(_mapped(both, both.columns, check, "high long, low long").distinct(), "late")
+
+    allowed = F.bit_count(F.col("sign").bitwiseXOR(F.col("a_sign"))) <= limit
+    hub = F.min(F.struct("place", "mark", "sign")).alias("hub")
+    hubs = written(members.groupBy("key").agg(hub, F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.mark").alias("a"), F.col("hub.sign").alias("a_sign")), "hubs")
+    tried = members.join(hubs, "key").where((F.col("mark") != F.col("a")) & allowed).select("a", F.col("mark").alias("b")).distinct()
+    tried = written(tried, "pairs")
+    settled = near(tried)
+    open_ = members.join(hubs, "key").where(F.col("mark") != F.col("a")).select("key", "mark", "sign", "place")
+    open_ = written(open_.join(settled.select(F.col("high").alias("mark")).distinct(), "mark", "left_anti"), "open")
+    early = members.select("key", F.col("mark").alias("a"), F.col("sign").alias("a_sign"), F.col("place").alias("a_place"))
+    rest = open_.join(early, (open_["key"] == early["key"]) & allowed & (F.col("a_place") < F.col("place"))).select("a", F.col("mark").alias("b"))
+    rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    return settled.union(near(rest)).distinct()
 
 
 def _bitmap(wanted: DataFrame) -> np.ndarray:
@@ -407,7 +437,7 @@ def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold
     Lines of ``least_equal`` characters or more (1: all that aren't blank) are compared for equality, those of
     ``least`` or more for nearness too: within ``threshold`` edits of characters, or of words where both lines have
     ``long_words``. Of equal lines the first by identifier and line number stays, unless an earlier line is within
-    ``threshold`` edits. NULL identifiers come last. ``text_mark`` is the text's xxhash64: rows that share an
+    ``threshold`` edits. Identifiers may have any type with an order; NULL ones come last. ``text_mark`` is the text's xxhash64: rows that share an
     identifier are told apart by it, and whole repeated rows share their decisions.
     """
     require(documents, identifier, text)
@@ -419,19 +449,15 @@ def dropped_lines(documents: DataFrame, identifier: str, text: str, *, threshold
 
         return of
 
-    numbered = documents.select(F.col(f"`{identifier}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    numbered = documents.select(F.col(f"`{identifier}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     numbered = numbered.select("doc", F.xxhash64("text").alias("mark"), "text")
-    lines = _mapped(numbered, ["doc", "mark", "text"], occurrences, "doc long, mark long, line int, high long, low long")
+    lines = _mapped(numbered, ["doc", "mark", "text"], occurrences, T.StructType([numbered.schema["doc"], *T._parse_datatype_string("mark long, line int, high long, low long").fields]))
     lines = written(lines, "line-places")
     place = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "mark", "line")
     first = lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = written(first, "first-lines")
     n_lines = lines.count()
-    pairs = near_pairs(numbered, "text", threshold=threshold, least=least, long_words=long_words, n_lines=n_lines)
-    at = lambda s: first.select(F.col("high").alias(f"{s}1"), F.col("low").alias(f"{s}2"), F.col("first").alias(f"{s}_at"))
-    placed = pairs.join(at("a"), ["a1", "a2"]).join(at("b"), ["b1", "b2"])
-    late = placed.select(F.when(F.col("a_at") > F.col("b_at"), F.struct("a1", "a2")).otherwise(F.struct(F.col("b1").alias("a1"), F.col("b2").alias("a2"))).alias("late"))
-    late = late.select(F.col("late.a1").alias("high"), F.col("late.a2").alias("low")).distinct().withColumn("near", F.lit(True))
+    late = late_lines(numbered, "text", first, threshold=threshold, least=least, long_words=long_words, n_lines=n_lines).withColumn("near", F.lit(True))
     # Written, so that Spark can split the rows of a line that very many documents share.
     marked = written(first.join(late, ["high", "low"], "left").where("n > 1 or near"), "marked-lines")
     joined = lines.join(marked, ["high", "low"])

@@ -353,10 +353,10 @@ def _expected_drops(rows, long_words):
     return {(p[0], p[1]) for p in places if any(earlier(q, p) and (q[2] == p[2] or _near(q[2], p[2], long_words)) for q in places)}
 
 
-@pytest.mark.parametrize("hot_pairs", [1, 1 << 22])
+@pytest.mark.parametrize("hot_pairs", [1, 1 << 21])
 def test_edit_join_equals_brute_force(documents, babble, monkeypatch, hot_pairs):
     """Lines of 1 to 120 characters and of 8 to 30 words, of which those of 12 words or more are compared by words."""
-    monkeypatch.setattr(lines, "near_pairs", functools.partial(lines.near_pairs, hot_pairs=hot_pairs, bucket_entries=400))
+    monkeypatch.setattr(lines, "late_lines", functools.partial(lines.late_lines, hot_pairs=hot_pairs, bucket_entries=400))
     r = random.Random(6)
     base = [babble(i, 9)[:60].strip() for i in range(12)] + ["one prefix that many lines of this test have in common " + w for w in ("aaaaaaaa", "bbbbbbbb", "cccccccc", "dddddddd")]
     long = [babble(100 + i, r.randint(10, 16)) for i in range(6)]
@@ -486,6 +486,57 @@ def test_pipeline_on_planted_rows(documents, spark, babble, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, babble(99, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(out) == {*range(20), 31, 33, 34} or set(out) == {*range(20), 33, 34}
+    assert set(out) == {*range(20), 33, 34}  # 31 is document 4 and a word more
     cut = babble(61, 40)
     assert out[34].decoded_sha256 == hashlib.sha256(cut.encode()).hexdigest()
+
+
+def test_every_stage_of_the_pipeline_on_odd_rows(documents, spark, babble, tmp_path):
+    """NULLs in every column, repeated rows, long texts, columns of clashing names; then no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, 1, 0), (None, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, babble(99, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [*ODD, (0, babble(0, 70)), (0, babble(0, 70)), (1, babble(99, 30))]
+    left = {
+        "quality_rules": lambda kept: {r.doc_id for r in kept} >= {0, 1} and not any((r.text or "").strip() == "" for r in kept),
+        "line_dedup": lambda kept: len(kept) == len(rows) and {r.doc_id for r in kept} == {d for d, _ in rows},
+        "simhash_near_dedup": lambda kept: sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 0), (False, 1), (False, 1), (False, 4), (False, 5), (False, 6), (False, 7), (True, 0)],
+        "benchmark_decontamination": lambda kept: len(kept) == len(rows) - 1,
+        "byte_bpe": lambda kept: len(kept) == len(rows) and all(r.n_tokens == len(r.ids) for r in kept),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        df = documents(rows, extra=True)
+        out = stage(spark, df, str(tmp_path))
+        assert left[name](out.collect()), name
+        assert name == "byte_bpe" or out.columns == df.columns
+        assert stage(spark, documents([], extra=True), str(tmp_path)).isEmpty()
+
+
+def test_near_copies_are_caught_and_clean_documents_kept(documents, spark, babble):
+    """Recall of near copies at similarity 0.8 or a little more, in pairs and in one large group, against brute force."""
+    r = random.Random(11)
+    rows, copies = [], set()
+    for k in range(150):
+        words = babble(k, 120).split()
+        rows.append((k, " ".join(words)))
+        words[r.randrange(10, 110)] = "changed"
+        rows.append((1000 + k, " ".join(words)))
+        copies.add(1000 + k)
+    hot = babble(5000, 150).split()
+    for k in range(200):
+        words = list(hot)
+        for _ in range(2):
+            words[r.randrange(150)] = f"new{k}"
+        rows.append((2000 + k, " ".join(words)))
+    kept = {x.doc_id for x in simhash.keep_one(documents(rows), "doc_id", "text").collect()}
+    caught = len(copies - kept) / len(copies)
+    assert caught >= 0.97 and set(range(150)) <= kept
+    assert len([d for d in kept if 2000 <= d]) == 1
+
+
+def test_text_identifiers(documents, babble):
+    rows = documents([(1, babble(1, 30)), (2, babble(1, 30)), (3, babble(2, 30) + "\n" + babble(1, 30)), (None, babble(4, 30))]).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r.doc_id for r in simhash.keep_one(rows, "doc_id", "text").collect()} == {"d1", "d3", None}
+    assert {(r.doc_id, r.line) for r in lines.dropped_lines(rows, "doc_id", "text").collect()} == {("d2", 0), ("d3", 1)}
+    assert {r.component_id for r in simhash.near_duplicate_classes(rows, "doc_id", "text").collect()} >= {"d1", None}
