@@ -16,6 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and the decoded bytes of every document."""
     import public_tokenizers
 
     path = public_tokenizers.path(RANKS)
@@ -29,17 +30,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document, linked at two or fewer differing bits."""
     found = simhash.near_duplicate_classes(_documents(spark, sf_dir), "doc_id", "text")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict, and the verdict of rules learned from ``labels`` for every document."""
     documents = _documents(spark, sf_dir)
     rules = quality.learned(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(documents, "text", rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the plain spans by kind, their digest, and all spans of every document."""
     found = pii.spans(_documents(spark, sf_dir), "text").drop("text")
     plain = F.filter("pii", lambda x: ~x["disguised"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
@@ -49,6 +53,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; profiles are learned from two thirds of the labelled ones."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     profiles = language.train(documents.where(remainder != 1), "text", "lang")
@@ -57,6 +62,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of every document go as equal or near to an earlier one, and their numbers."""
     documents = _documents(spark, sf_dir)
     drops = lines.line_drops(documents, "doc_id", "text").withColumnRenamed("doc_id", "own_id")
     everything = documents.select("doc_id", F.xxhash64("text").alias("mark"))
@@ -66,11 +72,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item, its coverage and the slots that were changed."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.leaks(_documents(spark, sf_dir), "doc_id", "text", benchmark, "item_id", "text")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and suffix-tree log10 probabilities of every document; six sevenths are learned from."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     return suffix_tree.score(_documents(spark, sf_dir), "doc_id", "text", held)
 

@@ -118,7 +118,7 @@ def links(distinct: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
 
 def _roots(marked: DataFrame, fingerprint: str, *firsts) -> DataFrame:
     """``_f, _root`` and the aggregates ``firsts`` for each distinct fingerprint of ``marked``."""
-    own = marked.groupBy(F.col(fingerprint).alias("_f")).agg(*firsts)
+    own = marked.groupBy(F.col(f"`{fingerprint}`").alias("_f")).agg(*firsts)
     found = components(links(own.select(F.col("_f").alias("fingerprint"))))
     return own.join(found, F.col("_f") == F.col("node"), "left").drop("node").withColumn("_root", F.coalesce("root", "_f")).drop("root")
 
@@ -131,10 +131,11 @@ def classes(marked: DataFrame, identifier: str, fingerprint: str = "fingerprint"
     """
     require(marked, identifier, fingerprint)
     marked = marked.drop(component)
-    rooted = _roots(marked, fingerprint, F.min(identifier).alias("_first"))
-    smallest = rooted.groupBy("_root").agg(F.min("_first").alias(component))
-    table = rooted.join(smallest, "_root").select("_f", component)
-    return marked.join(table, F.col(fingerprint) == F.col("_f"), "left").drop("_f")
+    own = free_name("_f", [*marked.columns, component])
+    rooted = _roots(marked, fingerprint, F.min(F.col(f"`{identifier}`")).alias("_first"))
+    smallest = rooted.groupBy("_root").agg(F.min("_first").alias("_least"))
+    table = rooted.join(smallest, "_root").select(F.col("_f").alias(own), F.col("_least").alias(component))
+    return marked.join(table, F.col(f"`{fingerprint}`") == F.col(own), "left").drop(own)
 
 
 def near_duplicate_classes(df: DataFrame, identifier: str, text: str, *, component: str = "component_id", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -157,7 +158,7 @@ def keep_one(df: DataFrame, identifier: str, text: str, *, words: int = resembla
     (see ``resemblance``); no link is made up."""
     require(df, identifier, text)
     names = [free_name(n, df.columns) for n in ("_unknown", "_doc", "_mark", "_turn")]
-    own = (F.col(f"`{identifier}`").isNull(), F.coalesce(F.col(f"`{identifier}`"), F.lit(0)), F.xxhash64(F.col(f"`{text}`").cast("string")))
+    own = (F.col(f"`{identifier}`").isNull(), F.coalesce(F.col(f"`{identifier}`"), F.lit(0).cast(df.schema[identifier].dataType)), F.xxhash64(F.col(f"`{text}`").cast("string")))
     keyed = df.withColumns(dict(zip(names, own, strict=False)))
     key = names[:3]
     plain = keyed.select(*(F.col(n).alias(k) for n, k in zip(key, ("unknown", "doc", "mark"), strict=True)), F.col(f"`{text}`").cast("binary").alias("data"))

@@ -53,7 +53,7 @@ def decide(pages: DataFrame, record: str, payload: str, uri: str) -> DataFrame:
     """``record, uri, data, bytes, digest, type, refers_to``: of equal payloads of at least ``REVISIT_BYTES``
     the smallest record is the response and the others revisit it; shorter payloads are all responses.
 
-    A NULL payload is empty. Repeated rows of the smallest record are all responses; a NULL record is never
+    Record identifiers are integers, as is what casts to long; others are an error. A NULL payload is empty. Repeated rows of the smallest record are all responses; a NULL record is never
     the smallest, and where all are NULL all are responses. Digests that occur once need no join's answer: the
     smallest records of the others are combined before the shuffle and written, so that Spark can split the rows of
     a digest that very many copies share, or send so few digests to the payloads. Other columns aren't read.
