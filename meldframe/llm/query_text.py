@@ -83,5 +83,64 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(_documents(spark, sf_dir), "doc_id", "text", held)
 
 
-QUERIES = {"op9_lm_score": op9_lm_score, "op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op5_language": op5_language, "op7_pii": op7_pii, "op6_quality_rules": op6_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op10_simhash": op10_simhash}
-ORACLES: dict[str, str] = {}
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that follow from the text alone, for SQL to hold against."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", *quality.COUNTS, "base_failed")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op7, for SQL to hold against."""
+    return op7_pii(spark, sf_dir).select("doc_id", *(f"n_{kind}" for kind in pii.KINDS))
+
+
+QUERIES = {
+    "op9_lm_score": op9_lm_score,
+    "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_language": op5_language,
+    "op7_pii": op7_pii,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_simhash": op10_simhash,
+    "quality_counts": quality_counts,
+    "pii_counts": pii_counts,
+}
+
+_SPACE = r"[\x20\x09-\x0D]+"
+_LUHN = (
+    "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 1 THEN 2 * (ord(substring({d}, i, 1)) - 48) "
+    "- CASE WHEN ord(substring({d}, i, 1)) > 52 THEN 9 ELSE 0 END ELSE ord(substring({d}, i, 1)) - 48 END)) % 10 = 0"
+)
+_DIGITS = "regexp_replace({x}, '[^0-9]', '', 'g')"
+
+ORACLES: dict[str, str] = {
+    "quality_counts": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS filled FROM d),
+        p AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 4], ' ')) AS n FROM p) WHERE n > 1),
+        c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM r) GROUP BY doc_id),
+        q AS (
+            SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                (len(filled) - len(list_distinct(filled)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+            FROM w LEFT JOIN c ON c.doc_id = w.doc_id
+        )
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q
+    """,
+    "pii_counts": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (
+            SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+                regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+                list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: {_DIGITS.format(x='x')}) AS card,
+                list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: {_DIGITS.format(x='x')}) AS phone
+            FROM d
+        )
+        SELECT doc_id, len(email)::BIGINT AS n_email,
+            len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: coalesce(try_cast(p AS BIGINT), 999) > 255)) = 0))::BIGINT AS n_ip,
+            len(list_filter(card, lambda c: length(c) BETWEEN 16 AND 19 AND {_LUHN.format(d='c')}))::BIGINT AS n_card,
+            len(list_filter(phone, lambda x: length(x) BETWEEN 8 AND 15))::BIGINT AS n_phone
+        FROM m
+    """,
+}
