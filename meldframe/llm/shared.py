@@ -75,17 +75,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return kept_table(df, name)[0]
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(values: np.ndarray) -> bytes:
     """The array's bytes by plane, compressed: planes of high bytes are mostly zeros."""
     if not len(values):
         return b""
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return _zstd()[0].compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
     if not data:
         return np.empty(0, kind)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 

@@ -21,14 +21,13 @@ occurrences are dealt to the buckets by context and word, and tested from a hist
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ CHUNK_WORDS = (1 << 20) - 2
 #: Nats by which a context must better its suffix on what follows it in training.
 LEAST_GAIN = 2.0
 #: Entries of a bucket, about.
-BUCKET_ENTRIES = 1 << 19
+BUCKET_ENTRIES = 1 << 20
 #: Occurrences from which a context is dealt out by context and word; never more than ``MOST_HOT`` such contexts a level.
 HOT, MOST_HOT = 1 << 20, 1 << 20
 #: Parent probabilities are tested in steps of a quarter bit.
@@ -53,13 +52,13 @@ _END = 0x5851F42D4C957F2D
 
 _STATE = (
     "chunk long, docs array<string>, rows array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, "
-    "words binary, ids binary, often binary, hot binary, alive binary, chances binary, asked long, salted long"
+    "words binary, counts binary, ids binary, often binary, hot binary, alive binary, chances binary, asked long, salted long"
 )
 _ASKED = "bucket long, chunk long, contexts binary, followers binary, words binary, times binary, chances binary"
 _ANSWERS = "chunk long, bucket long, counts binary, totals binary, kinds binary, kept binary, h long, n long, q int, times long"
-#: Chunk rows are large: few of them in an Arrow batch or a reader's batch.
+#: What is large is packed already. Chunk rows are large: few of them in an Arrow batch or a reader's batch.
 _SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20), "spark.sql.parquet.columnarReaderBatchSize": "16"}
-_OPTIONS = {"parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "2"}
+_OPTIONS = {"compression": "none", "parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "2"}
 
 
 def _flags(values: np.ndarray) -> bytes:
@@ -96,52 +95,69 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _short(chances: np.ndarray) -> np.ndarray:
+    """Probabilities as floats of 16 bits' precision, whose last byte is zero."""
+    return ((chances.astype(np.float32).view(np.uint32) + np.uint32(128)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
 @dataclass
 class Chunk:
-    """A row of the state, unpacked."""
+    """A row of the state, unpacked. ``size`` has the number of training tokens and of different ones."""
 
     row: dict
+    size: tuple[int, int]
 
     def __post_init__(self) -> None:
         self.words, self.ids = unpacked(self.row["words"], np.uint64), unpacked(self.row["ids"], np.uint32).astype(np.int64)
         n = len(self.ids)
         self.often, self.hot, self.alive = (_unflags(self.row[k], n) for k in ("often", "hot", "alive"))
         self.at = np.flatnonzero(self.alive)
-        self.chances = unpacked(self.row["chances"], np.float32)
         sizes = np.array(self.row["sizes"], np.int64)
         self.starts = np.cumsum(sizes) - sizes
-        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.train = ~np.array(self.row["held"], bool)[self.text]
 
+    def chances(self, depth: int) -> np.ndarray:
+        """The probability of each word to be looked at, by the contexts shorter than ``depth``: the root's follow from
+        the words' counts."""
+        if depth == 1:
+            return _short((unpacked(self.row["counts"], np.int64) + 1) / (sum(self.size) + 1))[self.ids[self.at]]
+        return unpacked(self.row["chances"], np.float32)
+
     def ask(self, depth: int, buckets: int) -> Asked:
         at, ids = self.at, self.ids
         if depth == 0:  # the words themselves, with nothing after them: their counts are the contexts' totals
-            context, first = _dense(ids)
-            h, words = self.words[ids[first]], np.zeros(len(ids), np.int64)
-        else:
-            context, first = _dense(ids[at - 1])
-            h = self.words[ids[at[first] - 1]]
-            for back in range(2, depth + 1):
-                own = context
-                context, first = _dense(context << _BITS | ids[at - back])
-                h = _mixed(_mixed(h[own[first]]) + self.words[ids[at[first] - back]])
-            words = ids[at]
+            h, order = self.words, np.argsort(self.words)
+            rank = np.empty(len(h), np.int64)
+            rank[order] = np.arange(len(h))
+            times = np.bincount(ids, self.train, len(h)).astype(np.uint32)[order]
+            bucket = ((h[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2
+            none = np.zeros(len(h), np.uint64)
+            return Asked(rank[ids], h[order], np.arange(len(h)), bucket, none, times, none.astype(np.uint8))
+        context, h = ids[at - 1], self.words
+        for back in range(2, depth + 1):
+            own = context
+            context, first = _dense(context << _BITS | ids[at - back])
+            h = _mixed(_mixed(h[own[first]]) + self.words[ids[at[first] - back]])
         order = np.argsort(h)
         rank = np.empty(len(h), np.int64)
         rank[order] = np.arange(len(h))
-        context, h = rank[context], h[order]
-        entry, first = _dense(context << _BITS | words)
-        own = context[first]
-        follower = self.words[ids[at[first]]] >> np.uint64(64 - _WORD_BITS) if depth else np.zeros(len(first), np.uint64)
-        salted = self.hot[at[first] - 1] if depth else np.zeros(len(first), bool)
-        key = np.where(salted, _mixed(h[own] ^ follower), h[own])
+        entry, first = _dense(rank[context] << _BITS | ids[at])
+        h, own = h[order], rank[context[first]]
+        follower = self.words[ids[at[first]]] >> np.uint64(64 - _WORD_BITS)
+        salted = self.hot[at[first] - 1]
+        key = h[own]
+        if salted.any():
+            key[salted] = _mixed(key[salted] ^ follower[salted])
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2 + salted
-        plain, dealt = np.flatnonzero(~salted), np.flatnonzero(salted)
-        line = np.concatenate([plain, dealt[np.argsort(bucket[dealt], kind="stable")]])
+        times = np.bincount(entry, self.train[at], len(first)).astype(np.uint32)
+        chances = np.round(-STEPS * np.log2(self.chances(depth)[first])).clip(0, 255).astype(np.uint8)
+        if not salted.any():
+            return Asked(entry, h, own, bucket, follower, times, chances)
+        dealt = np.flatnonzero(salted)
+        line = np.concatenate([np.flatnonzero(~salted), dealt[np.argsort(bucket[dealt], kind="stable")]])
         place = np.empty(len(line), np.int64)
         place[line] = np.arange(len(line))
-        times = np.bincount(entry, self.train[at], len(first)).astype(np.uint32)
-        chances = np.round(-STEPS * np.log2(self.chances[first])).clip(0, 255).astype(np.uint8) if depth else np.zeros(len(first), np.uint8)
         return Asked(place[entry], h, own[line], bucket[line], follower[line], times[line], chances[line])
 
 
@@ -174,34 +190,51 @@ class Asked:
 def _cut(least_chunk: int):
     """Rows of texts to rows of the state."""
 
+    def row(number: dict, texts: list) -> pa.RecordBatch:
+        words = np.fromiter(number, np.uint64, len(number))
+        docs, rows, held, ids = (list(x) for x in zip(*texts, strict=True))
+        n, every = len(docs), np.concatenate(ids)
+        blank = _flags(np.zeros(len(every), bool))
+        state = {"chunk": uuid4().int >> 65, "docs": docs, "rows": rows, "held": held, "sizes": [len(i) for i in ids], "known": [0] * n, "base": [0.0] * n, "score": [0.0] * n}
+        state |= {"words": packed(words), "counts": b"", "ids": packed(every.astype(np.uint32)), "often": blank, "hot": blank, "alive": _flags(np.ones(len(every), bool)), "chances": b"", "asked": len(every), "salted": 0}
+        return _table([state], _STATE).to_batches()[0]
+
+    def split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The ends of the texts, their words one after the other as numbers, and the words' hashes by number."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))  # space and \t to \r, as A-Z only
+        coded = lists.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary())
+        cuts = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+        data, digest = words.buffers()[2].to_pybytes() if words.buffers()[2] else b"", xxhash.xxh3_64_intdigest
+        hashes = [digest(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        blank = np.flatnonzero(np.diff(cuts) == 0)
+        if len(blank):  # white space at a text's ends
+            real = at != blank[0]
+            ends, at = np.concatenate([[0], np.cumsum(real)])[ends], at[real]
+        return ends, at, hashes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(number: dict, texts: list) -> pa.RecordBatch:
-            words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
-            words[0] = _END
-            docs, rows, held, ids = (list(x) for x in zip(*texts, strict=True))
-            n, every = len(docs), np.concatenate(ids)
-            alive = np.ones(len(every), bool)
-            blank = _flags(np.zeros(len(every), bool))
-            state = {"chunk": uuid4().int >> 65, "docs": docs, "rows": rows, "held": held, "sizes": [len(i) for i in ids], "known": [0] * n, "base": [0.0] * n, "score": [0.0] * n}
-            state |= {"words": packed(words), "ids": packed(every.astype(np.uint32)), "often": blank, "hot": blank, "alive": _flags(alive), "chances": packed(np.ones(len(every), np.float32)), "asked": len(every), "salted": 0}
-            return _table([state], _STATE).to_batches()[0]
-
-        def fresh() -> defaultdict:
-            number = defaultdict(count().__next__)
-            return number if number[b""] == 0 else number  # the end is number 0
-
-        number, texts, size = fresh(), [], 0
+        number, texts, size = {_END: 0}, [], 0  # the end is number 0
         for batch in batches:
-            for doc, held, data in zip(*batch.columns, strict=True):
-                words, one, begin = (data.as_py() or b"").lower().split(), uuid4().int >> 65, 0
-                while begin >= 0:
-                    piece = words[begin : begin + least_chunk // 2]
-                    begin = begin + len(piece) if begin + len(piece) < len(words) else -1
+            ends, at, hashes = split(batch.column(2))
+            known, begin = np.full(len(hashes), -1, np.int64), 0
+            for doc, held, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends.tolist(), strict=True):
+                one, last = uuid4().int >> 65, False
+                while not last:
+                    piece = at[begin : min(end, begin + least_chunk // 2)]
+                    begin += len(piece)
+                    last = begin == end
                     if size + len(piece) + 1 > least_chunk:
                         yield row(number, texts)
-                        number, texts, size = fresh(), [], 0
-                    ids = np.fromiter(map(number.__getitem__, piece), np.int64, len(piece))
-                    texts.append((doc.as_py(), one, held.as_py(), ids if begin >= 0 else np.append(ids, 0)))
+                        number, texts, size = {_END: 0}, [], 0
+                        known[:] = -1
+                    ids = known[piece]
+                    if len(new := piece[ids < 0]):
+                        for k in dict.fromkeys(new.tolist()):
+                            known[k] = number.setdefault(hashes[k], len(number))
+                        ids = known[piece]
+                    texts.append((doc, one, held, np.append(ids, 0) if last else ids))
                     size += len(texts[-1][3])
         if texts:
             yield row(number, texts)
@@ -209,12 +242,12 @@ def _cut(least_chunk: int):
     return run
 
 
-def _sent(depth: int, buckets: int):
+def _sent(depth: int, buckets: int, size: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 if row["asked"]:
-                    yield from _table(list(Chunk(row).ask(depth, buckets).rows(row["chunk"])), _ASKED).to_batches()
+                    yield from _table(list(Chunk(row, size).ask(depth, buckets).rows(row["chunk"])), _ASKED).to_batches()
 
     return run
 
@@ -267,7 +300,7 @@ def _settled(depth: int, buckets: int, hot: tuple, least_hot: int, size: tuple[i
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        chunk, n = Chunk(row), len(row["docs"])
+        chunk, n = Chunk(row, size), len(row["docs"])
         if not row["asked"]:
             return _table([row], _STATE)
         asked = chunk.ask(depth, buckets)
@@ -288,29 +321,29 @@ def _settled(depth: int, buckets: int, hot: tuple, least_hot: int, size: tuple[i
             found = hot[0][where] == wanted
             total[salted[found]], kinds[salted[found]], kept[salted[found]] = (x[where[found]] for x in hot[1:])
         at, entry = chunk.at, asked.entry
-        group = asked.group[entry]
         if depth == 0:
-            c = total[group]
-            trained, different = size
-            chances = (c + 1) / (trained + different + 1)
-            row["known"] = np.bincount(chunk.text, c > 0, n).astype(np.int64).tolist()
-            row["base"] = np.bincount(chunk.text, np.log10(chances), n).tolist()
-            times, more = c, np.ones(len(at), bool)
+            counted = np.empty(len(total), np.int64)
+            counted[np.argsort(chunk.words)] = total
+            times, more, logs = total[entry], np.ones(len(at), bool), np.log10((total + 1) / (sum(size) + 1))[entry]
+            row["counts"] = packed(counted)
+            row["known"] = np.bincount(chunk.text, times > 0, n).astype(np.int64).tolist()
+            row["base"] = np.bincount(chunk.text, logs, n).tolist()
         else:
+            group, before = asked.group[entry], chunk.chances(depth)
             times, good = counts[entry], kept[group]
             over = np.maximum(total[group], 1)
-            chances = np.where(good, np.maximum(times - 1, 0) / over + kinds[group] / over * chunk.chances, chunk.chances)
-            more = good & (kinds[group] > 1)
+            chances = np.where(good, np.maximum(times - 1, 0) / over + kinds[group] / over * before, before)
+            more, logs = good & (kinds[group] > 1), np.log10(chances)
         chunk.often[at], chunk.hot[at] = times >= 2, times >= least_hot
         more &= (at - chunk.starts[chunk.text[at]] > depth) & chunk.often[at - 1]
         done = ~more
-        row["score"] = (np.array(row["score"]) + np.bincount(chunk.text[at[done]], np.log10(chances[done]), n)).tolist()
+        row["score"] = (np.array(row["score"]) + np.bincount(chunk.text[at[done]], logs[done], n)).tolist()
         alive = np.zeros(len(chunk.ids), bool)
         alive[at[more]] = True
         left_over = int(np.count_nonzero(more))
-        row |= {"often": _flags(chunk.often), "hot": _flags(chunk.hot), "alive": _flags(alive), "chances": packed(chances[more].astype(np.float32)), "asked": left_over, "salted": int(np.count_nonzero(chunk.hot[at[more] - 1]))}
+        row |= {"often": _flags(chunk.often), "hot": _flags(chunk.hot), "alive": _flags(alive), "chances": packed(_short(chances[more])) if depth else b"", "asked": left_over, "salted": int(np.count_nonzero(chunk.hot[at[more] - 1]))}
         if not left_over:
-            row |= {k: b"" for k in ("words", "ids", "often", "hot", "alive", "chances")}
+            row |= {k: b"" for k in ("words", "counts", "ids", "often", "hot", "alive", "chances")}
         return _table([row], _STATE)
 
     return run
@@ -341,14 +374,14 @@ def score(
     """
     require(documents, identifier, text)
     spark, kind = documents.sparkSession, documents.schema[identifier].dataType
-    plain = documents.select(F.col(f"`{identifier}`").cast("string").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text}`").cast("string").cast("binary").alias("data"))
+    plain = documents.select(F.col(f"`{identifier}`").cast("string").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text}`").cast("string").alias("data"))
     with session_settings(spark, _SETTINGS | {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}):
         state, path = kept_table(plain.mapInArrow(releasing(_cut(chunk_words)), _STATE), "lm-chunks", **_OPTIONS)
     trained = different = depth = 0
     with session_settings(spark, _SETTINGS):
         while (here := state.agg(F.sum("asked").alias("asked"), F.sum("salted").alias("salted")).first())["asked"]:
             buckets = here["asked"] // bucket_entries + 1
-            sent = state.select("chunk", "docs", "rows", "held", "sizes", "words", "ids", "often", "hot", "alive", "chances", "asked").mapInArrow(releasing(_sent(depth, buckets)), _ASKED)
+            sent = state.select("chunk", "docs", "rows", "held", "sizes", "words", "counts", "ids", "often", "hot", "alive", "chances", "asked").mapInArrow(releasing(_sent(depth, buckets, (trained, different))), _ASKED)
             answers, answers_path = kept_table(sent.groupBy("bucket").applyInArrow(_answered(depth, least_gain), _ANSWERS), "lm-answers", **_OPTIONS)
             hot = (np.empty(0, np.int64),) * 4
             if depth == 0:
