@@ -8,17 +8,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meldframe.functions.text import ACCENTED, PLAIN, normalize_text
 from meldframe.operators import merge
-from meldframe.operators.catalog import SEARCH, keyword_hits, scan_databases
+from meldframe.operators.catalog import SEARCH, drop_database_tables, keyword_hits, scan_databases, search_database
 from meldframe.operators.columns import clean_columns
 from meldframe.operators.keyed import latest_by_key, ordered_list_by_key
 from meldframe.operators.matching import fill_missing_from_match, fuzzy_match, infer_key_from_text, ml_fuzzy_match, ngram_match
-from meldframe.plans.sync import decide
+from meldframe.plans.sync import SyncAudit, SyncState, decide, load_specs, run_sync
 from meldframe.sources.io import Input, Output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,17 +384,93 @@ def versioned_changes(spark, sf_dir):
     return merge.read_cdf(_versioned(spark, sf_dir), 1, spark=spark).groupBy("_change_type").agg(F.count("*").alias("n"))
 
 
+@contextmanager
+def _database(spark, *tables: tuple[str, DataFrame]):
+    """A database made for a query, which goes again."""
+    db = f"meldframe_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {db}")
+    try:
+        for name, df in tables:
+            df.write.format("parquet").saveAsTable(f"{db}.{name}")
+        yield db
+    finally:
+        spark.sql(f"DROP DATABASE {db} CASCADE")
+
+
+def _here(df: DataFrame) -> DataFrame:
+    """A result of a few rows, taken before its tables go."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _synced(spark, sf_dir) -> tuple[str, DataFrame]:
+    """A target that followed all orders through a snapshot, no news and a merge of ``_source``, and its audit."""
+    source, target = f"{_scratch(spark)}/orders", f"{_scratch(spark)}/target"
+    Output(source, "versioned").write(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    spec = {"src_key": "orders", "src_path": source, "dst_table": target, "pks": ["o_orderkey"]}
+    with _database(spark) as db:
+        state, audit = SyncState(f"{db}.state", spark=spark), SyncAudit(f"{db}.audit", spark=spark)
+        for news in (False, False, True):
+            if news:
+                Output(source, mode="merge", merge_on="o_orderkey").write(_source(spark, sf_dir))
+            _, failed = run_sync([spec], state, audit=audit, spark=spark)
+            if failed:
+                raise failed[0].error
+        return target, _here(spark.table(f"{db}.audit").drop("audited_at", "src_path", "dst_table"))
+
+
+@query(f"WITH {_SIDES} SELECT * FROM s UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)")
+def synchronized(spark, sf_dir):
+    return Input(_synced(spark, sf_dir)[0], spark=spark).dataframe()
+
+
+@query("""
+    WITH n AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey <> 0) AS new FROM orders)
+    SELECT 'orders' AS src_key, mode AS sync_mode, version::BIGINT AS last_delta_version, CASE mode WHEN 'initial_snapshot' THEN n WHEN 'cdf_merge' THEN new ELSE 0 END AS rows_inserted,
+        CASE mode WHEN 'cdf_merge' THEN n - new ELSE 0 END AS rows_updated, 0::BIGINT AS rows_deleted, CASE mode WHEN 'initial_snapshot' THEN n WHEN 'cdf_merge' THEN n + new ELSE 0 END AS rows_output
+    FROM n, (VALUES ('initial_snapshot', 0), ('already_current', 0), ('cdf_merge', 1)) AS m(mode, version)
+""")
+def sync_audit(spark, sf_dir):
+    return _synced(spark, sf_dir)[1]
+
+
+@query("""
+    SELECT 'sales.' || t AS src_key, 'lake/sales/' || t AS src_path, 'sales_' || t AS dst_table, pks FROM (VALUES ('lines', 'order_id,line'), ('orders', 'id')) AS x(t, pks)
+""")
+def specs(spark, sf_dir):
+    rows = [("Sales", " Orders", "ID", "1"), ("sales", "lines", "line", "2"), ("sales", "lines", "order_id", "1"), ("sales", "lines", "order_id", "1"), ("sales", "lines", "", "3"), ("sales", "lines", "x", "no")]
+    path = f"{_scratch(spark)}/keys.csv"
+    Output(path).write(spark.createDataFrame(rows, "schema_name string, table_name string, column_name string, position string"))
+    found = load_specs(path, source="lake/{schema}/{table}", spark=spark)
+    return spark.createDataFrame([(x["src_key"], x["src_path"], x["dst_table"], ",".join(x["pks"])) for x in found], "src_key string, src_path string, dst_table string, pks string")
+
+
+@query("""
+    SELECT * FROM (
+        SELECT 'nation' AS name, 'n_name' AS column_name, count(*) AS match_count, min(n_name) AS sample FROM nation WHERE contains(lower(n_name), 'io')
+        UNION ALL SELECT 'region', 'r_name', count(*), min(r_name) FROM region WHERE contains(lower(r_name), 'io')
+    ) WHERE match_count > 0
+""")
+def database_search(spark, sf_dir):
+    with _database(spark, *((n, table(spark, sf_dir, n)) for n in ("nation", "region"))) as db:
+        found = search_database(db, "IO", spark=spark)
+        return _here(found.select(F.substring_index("table_name", ".", -1).alias("name"), "column_name", "match_count", F.element_at("sample_values", 1).alias("sample")))
+
+
+@query("SELECT * FROM (VALUES ('dropped', 'region'), ('left', 'nation')) AS x(what, name)")
+def dropped_tables(spark, sf_dir):
+    with _database(spark, *((n, table(spark, sf_dir, n)) for n in ("nation", "region"))) as db:
+        would = drop_database_tables(db, dry_run=True, spark=spark)
+        gone = drop_database_tables(db, tables=["region"], spark=spark)
+        left = [t.name for t in spark.catalog.listTables(db)]
+        if len(would) != 2:
+            raise ValueError(f"a dry run named {would}")
+        return spark.createDataFrame([("dropped", n.split(".")[-1]) for n in gone] + [("left", n) for n in left], "what string, name string")
+
+
 @query("""
     SELECT t AS "table", c AS column_name, i::INTEGER AS ordinal, k AS data_type, true AS nullable, false AS is_partition
     FROM (VALUES ('nation', 'n_nationkey', 0, 'int'), ('nation', 'n_name', 1, 'string'), ('nation', 'n_regionkey', 2, 'int'), ('region', 'r_regionkey', 0, 'int'), ('region', 'r_name', 1, 'string')) AS x(t, c, i, k)
 """)
 def dictionary(spark, sf_dir):
-    """The columns of two tables in a database made for it, which goes again."""
-    db = f"meldframe_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE DATABASE {db}")
-    try:
-        for name in ("nation", "region"):
-            table(spark, sf_dir, name).write.format("parquet").saveAsTable(f"{db}.{name}")
+    with _database(spark, *((n, table(spark, sf_dir, n)) for n in ("nation", "region"))) as db:
         return scan_databases(db, spark=spark).select("table", "column_name", "ordinal", "data_type", "nullable", "is_partition")
-    finally:
-        spark.sql(f"DROP DATABASE {db} CASCADE")
