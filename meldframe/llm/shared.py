@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,9 +30,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='meldframe-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """A temporary folder that goes with the process."""
+    folder = tempfile.mkdtemp(prefix="meldframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -95,7 +103,8 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_ROWS`` rows from here on in this session."""
+    """Arrow batches of at most ``BATCH_ROWS`` rows from here on in this session: frames are evaluated later, and
+    must then find the setting."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
