@@ -5,10 +5,13 @@ Sources of merges and change feeds are derived from the tables by rule, so that
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +43,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """A temporary folder that goes with the process."""
+    folder = tempfile.mkdtemp(prefix="meldframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder; a temporary one only for a local session without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        base = f"file://{tempfile.mkdtemp(prefix='meldframe-')}"
+        base = _local_folder()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/meldframe-{uuid.uuid4().hex}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()
