@@ -7,7 +7,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -77,6 +77,22 @@ def kept_table(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed_table(df: DataFrame, key: str, name: str, **options: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written like ``kept_table``, in as many buckets by ``key`` as a shuffle has partitions, so that grouping
+    it by the key needs no shuffle; and what drops it. Its name is known to the session's catalog until then."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"meldframe_{uuid.uuid4().hex}"
+    with session_settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        writer = df.write.format("parquet").options(**{"compression": "zstd"} | options).option("path", path)
+        writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete_scratch(spark, path)
+
+    return spark.table(table), drop
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read again: it cuts lineage, and
     survives the loss of executors. Nothing is computed twice, and the shuffle files go at once."""

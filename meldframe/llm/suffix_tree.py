@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meldframe.llm.shared import delete_scratch, free_name, kept_table, packed, releasing, require, session_settings, unpacked
+from meldframe.llm.shared import bucketed_table, delete_scratch, free_name, kept_table, packed, release_memory, releasing, require, session_settings, unpacked
 
 #: A chunk has fewer positions than this; a longer text is cut into pieces, over whose bounds contexts don't reach.
 CHUNK_WORDS = (1 << 20) - 2
@@ -51,7 +51,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = 0x5851F42D4C957F2D
 
 _STATE = (
-    "chunk long, docs array<string>, rows array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, "
+    "chunk long, docs array<string>, rows array<long>, held array<boolean>, sizes array<long>, left array<long>, known array<long>, base array<double>, score array<double>, "
     "words binary, counts binary, ids binary, often binary, hot binary, alive binary, chances binary, asked long, salted long"
 )
 _ASKED = "bucket long, chunk long, contexts binary, followers binary, words binary, times binary, chances binary"
@@ -102,7 +102,8 @@ def _short(chances: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """A row of the state, unpacked. ``size`` has the number of training tokens and of different ones."""
+    """A row of the state, unpacked. ``size`` has the number of training tokens and of different ones. Of each text
+    only the ``left`` first positions are still there: up to the last that is alive."""
 
     row: dict
     size: tuple[int, int]
@@ -112,7 +113,7 @@ class Chunk:
         n = len(self.ids)
         self.often, self.hot, self.alive = (_unflags(self.row[k], n) for k in ("often", "hot", "alive"))
         self.at = np.flatnonzero(self.alive)
-        sizes = np.array(self.row["sizes"], np.int64)
+        sizes = np.array(self.row["left"], np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.train = ~np.array(self.row["held"], bool)[self.text]
@@ -195,7 +196,7 @@ def _cut(least_chunk: int):
         docs, rows, held, ids = (list(x) for x in zip(*texts, strict=True))
         n, every = len(docs), np.concatenate(ids)
         blank = _flags(np.zeros(len(every), bool))
-        state = {"chunk": uuid4().int >> 65, "docs": docs, "rows": rows, "held": held, "sizes": [len(i) for i in ids], "known": [0] * n, "base": [0.0] * n, "score": [0.0] * n}
+        state = {"chunk": uuid4().int >> 65, "docs": docs, "rows": rows, "held": held, "sizes": [len(i) for i in ids], "left": [len(i) for i in ids], "known": [0] * n, "base": [0.0] * n, "score": [0.0] * n}
         state |= {"words": packed(words), "counts": b"", "ids": packed(every.astype(np.uint32)), "often": blank, "hot": blank, "alive": _flags(np.ones(len(every), bool)), "chances": b"", "asked": len(every), "salted": 0}
         return _table([state], _STATE).to_batches()[0]
 
@@ -290,6 +291,7 @@ def _answered(depth: int, least_gain: float):
             trained = n > 0
             cells, times = np.unique(np.stack([own[trained], n[trained], np.where(n > 1, q, 0)[trained]]), axis=1, return_counts=True)
             out += [{"h": int(h[g : g + 1].view(np.int64)[0]), "n": k, "q": p, "times": t} for g, k, p, t in zip(*cells.tolist(), times.tolist(), strict=True)]
+        release_memory()
         return _table(out, _ANSWERS)
 
     return run
@@ -341,9 +343,18 @@ def _settled(depth: int, buckets: int, hot: tuple, least_hot: int, size: tuple[i
         alive = np.zeros(len(chunk.ids), bool)
         alive[at[more]] = True
         left_over = int(np.count_nonzero(more))
-        row |= {"often": _flags(chunk.often), "hot": _flags(chunk.hot), "alive": _flags(alive), "chances": packed(_short(chances[more])) if depth else b"", "asked": left_over, "salted": int(np.count_nonzero(chunk.hot[at[more] - 1]))}
-        if not left_over:
-            row |= {k: b"" for k in ("words", "counts", "ids", "often", "hot", "alive", "chances")}
+        row |= {"asked": left_over, "salted": int(np.count_nonzero(chunk.hot[at[more] - 1])), "chances": packed(_short(chances[more])) if depth else b""}
+        last = np.full(n, -1, np.int64)
+        np.maximum.at(last, chunk.text[at[more]], at[more])
+        here = np.arange(len(chunk.ids)) <= last[chunk.text]
+        ids, words, counted = chunk.ids[here], chunk.words, unpacked(row["counts"], np.int64)
+        used = np.zeros(len(words), bool)
+        used[ids] = True
+        ids = (np.cumsum(used) - 1)[ids]
+        row["left"] = np.bincount(chunk.text[here], minlength=n).tolist()
+        row |= {"words": packed(words[used]), "counts": packed(counted[used]), "ids": packed(ids.astype(np.uint32))}
+        row |= {k: _flags(x[here]) for k, x in (("often", chunk.often), ("hot", chunk.hot), ("alive", alive))}
+        release_memory()
         return _table([row], _STATE)
 
     return run
@@ -376,12 +387,12 @@ def score(
     spark, kind = documents.sparkSession, documents.schema[identifier].dataType
     plain = documents.select(F.col(f"`{identifier}`").cast("string").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text}`").cast("string").alias("data"))
     with session_settings(spark, _SETTINGS | {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}):
-        state, path = kept_table(plain.mapInArrow(releasing(_cut(chunk_words)), _STATE), "lm-chunks", **_OPTIONS)
+        state, drop = bucketed_table(plain.mapInArrow(releasing(_cut(chunk_words)), _STATE), "chunk", "lm-chunks", **_OPTIONS)
     trained = different = depth = 0
     with session_settings(spark, _SETTINGS):
         while (here := state.agg(F.sum("asked").alias("asked"), F.sum("salted").alias("salted")).first())["asked"]:
             buckets = here["asked"] // bucket_entries + 1
-            sent = state.select("chunk", "docs", "rows", "held", "sizes", "words", "counts", "ids", "often", "hot", "alive", "chances", "asked").mapInArrow(releasing(_sent(depth, buckets, (trained, different))), _ASKED)
+            sent = state.select("chunk", "docs", "rows", "held", "left", "words", "counts", "ids", "often", "hot", "alive", "chances", "asked").mapInArrow(releasing(_sent(depth, buckets, (trained, different))), _ASKED)
             answers, answers_path = kept_table(sent.groupBy("bucket").applyInArrow(_answered(depth, least_gain), _ANSWERS), "lm-answers", **_OPTIONS)
             hot = (np.empty(0, np.int64),) * 4
             if depth == 0:
@@ -391,10 +402,13 @@ def score(
                 hot = _hot_contexts(answers, least_gain)
             step = _settled(depth, buckets, hot, least_hot, (trained, different))
             mine = answers.where("chunk is not null").select("chunk", "bucket", "counts", "totals", "kinds", "kept")
-            following, following_path = kept_table(state.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(step, _STATE), "lm-chunks", **_OPTIONS)
-            delete_scratch(spark, path), delete_scratch(spark, answers_path)
-            state, path, depth = following, following_path, depth + 1
-    each = state.select(F.explode(F.arrays_zip("docs", "rows", "held", "sizes", "known", "base", "score")).alias("x")).select("x.*")
+            # The chunks are bucketed, so only the answers are shuffled.
+            following, drop_following = bucketed_table(state.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(step, _STATE), "chunk", "lm-chunks", **_OPTIONS)
+            drop(), delete_scratch(spark, answers_path)
+            state, drop, depth = following, drop_following, depth + 1
+    results, _ = kept_table(state.select("docs", "rows", "held", "sizes", "known", "base", "score"), "lm-scores")
+    drop()
+    each = results.select(F.explode(F.arrays_zip("docs", "rows", "held", "sizes", "known", "base", "score")).alias("x")).select("x.*")
     # The pieces of a long text are put together again.
     whole = each.groupBy("rows").agg(F.first("docs").alias("doc"), F.first("held").alias("held"), *(F.sum(c).alias(c) for c in ("sizes", "known", "base", "score")))
     return whole.select(
