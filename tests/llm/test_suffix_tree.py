@@ -92,6 +92,25 @@ def test_scores_equal_the_slow_tree(documents):
     assert [x[6] for x in got] == pytest.approx([x[6] for x in expected], rel=1e-5, abs=2e-3)
 
 
+def test_deep_contexts_take_few_exchanges(documents, babble, monkeypatch):
+    """The last word tells how many words lead to it, so contexts of 25 words and more are kept, each a level. Exchanges of
+    several levels must score as the slow tree does."""
+    r = random.Random(2)
+    runs = [j for j in range(1, 37) for _ in range(round(900 * 0.85**j))]
+    r.shuffle(runs)
+    texts = [" ".join([f"from{j}", *(f"p{k}" for k in range(j, 0, -1)), f"to{j}"]) for j in runs]
+    rows = [(i, " ".join(texts[40 * i : 40 * i + 40])) for i in range(len(texts) // 40)] + [(900, " ".join(f"p{k}" for k in range(60, 0, -1)) + " to36")]
+    rows += [(1000 + i, babble(i, 40)) for i in range(1600)]
+    tree = SlowTree([t for d, t in rows if d % 5 != 2])
+    assert max(len(s) for s, kept in tree.kept.items() if kept) >= 25
+    exchanges, own = [], suffix_tree.bucketed_table
+    monkeypatch.setattr(suffix_tree, "bucketed_table", lambda df, key, name, **options: exchanges.append(name) or own(df, key, name, **options))
+    monkeypatch.setattr(suffix_tree, "MOST_SPAN", 12)
+    found = suffix_tree.score(documents(rows), "doc_id", "text", F.col("doc_id") % 5 == 2, chunk_words=6000, bucket_entries=2000).collect()
+    assert {r.doc_id: r.score for r in found} == pytest.approx({d: tree.score(t) for d, t in rows}, rel=1e-5, abs=2e-3)
+    assert len(exchanges) < 14
+
+
 def test_distributions_sum_to_one():
     tree = SlowTree([t for _, t in texts()])
     known = list(tree.count)
