@@ -29,6 +29,8 @@ CACHE_PIECES = 1 << 18
 GROUP_BYTES = 1 << 21
 #: Pieces of more bytes than this have a matrix of their own, of one row.
 LONG_PIECE = 512
+#: Ids of a padded matrix, about: bounds what a round of merges takes beside it.
+MATRIX_IDS = 1 << 18
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,7 +119,7 @@ class Vocabulary:
                 buckets.setdefault((len(piece) - 1).bit_length(), []).append(i)
         for rows in buckets.values():
             width = max(len(pieces[i]) for i in rows)
-            step = max(1, (1 << 20) // width)
+            step = max(1, MATRIX_IDS // width)
             for at in range(0, len(rows), step):
                 some = rows[at : at + step]
                 for i, ids in zip(some, self._merge_matrix([pieces[i] for i in some]), strict=True):
@@ -269,27 +271,31 @@ def _int_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, *, ids: str = "ids") -> DataFrame:
-    """``df`` with the array column ``ids``: the token ids of the whole text. No shuffle.
+def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, *, ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with the array column ``ids``: the token ids of the whole text. No shuffle. With ``decoded`` also the bytes
+    these ids decode to, in a column of that name: one worker process does both, where ``decode`` takes another.
 
     A NULL or empty text gives an empty array. Other columns pass unchanged; an input column
-    named like ``ids`` is replaced.
+    named like ``ids`` or ``decoded`` is replaced.
     Every executor must be able to open ``ranks_path`` (for instance a file shipped with the job).
     """
     require(df, text)
-    df = df.drop(ids)
+    if text == decoded:
+        raise ValueError("decoded must have a name of its own")
+    df = df.drop(ids, *([decoded] if decoded else []))
     bounded_batches(df.sparkSession)
-    at = df.columns.index(text)
+    at, data = df.columns.index(text), [T.StructField(decoded, T.BinaryType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             rows = [x for some in _groups(texts) for x in own.encode(some)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _int_lists(rows)], [*batch.schema.names, ids])
+            back = [pa.array(map(own.vocab.decode, rows), pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, _int_lists(rows), *back], [*batch.schema.names, ids, *([decoded] if decoded else [])])
         own._forget()
 
-    return df.mapInArrow(releasing(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))]))
+    return df.mapInArrow(releasing(run), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *data]))
 
 
 def decode(df: DataFrame, ids: str, ranks_path: str, *, data: str = "decoded") -> DataFrame:

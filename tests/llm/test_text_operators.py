@@ -41,6 +41,16 @@ def test_bpe_equals_the_library(documents, reference_encoding):
         assert bytes(row.decoded) == text.encode()
 
 
+def test_bpe_encodes_and_decodes_in_one_worker(documents, reference_encoding, spark):
+    """Two chained Python steps take two worker processes a task, which op8 has no memory for."""
+    got = bpe.encode(documents(ODD, extra=True), "text", RANKS, public_tokenizers.PATTERN, decoded="decoded")
+    assert all(r.ids == reference_encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() for r in got.collect())
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["op8_byte_bpe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_bpe_rejects_unknown_ids(documents, spark):
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(spark.createDataFrame([([10**7],)], "ids array<int>"), "ids", RANKS).collect()
