@@ -4,6 +4,8 @@ A text is the set of its shingles' XXH64. ``BANDS`` keys of ``ROWS`` minwise has
 together: two sets of similarity 0.8 share no key with probability 0.002, of 0.85 with 0.0001. Sets that meet
 under a key are compared whole, so no link is made up.
 
+Pairs that another method found near, such as SimHash fingerprints, are compared whole too, and before all others.
+
 Under each key a few sets, chosen by a hash of set and key, are the hubs that the others are compared to. A group of
 near copies so makes rows in proportion to its size, and each of its sets meets hubs under all its keys. Where sets of
 different components still stand under a key, other hubs are chosen, until a round links nothing.
@@ -48,6 +50,12 @@ def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(text[i:j], SEED) for i, j in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def majority(digests: bytes) -> int:
+    """SimHash of 64-bit digests, big-endian: a bit is 1 if set in over half of them."""
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(bits)).tobytes(), "big")
+
+
 def set_name(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
 
@@ -70,7 +78,8 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, text: str, *, words: int = WORDS) -> DataFrame:
-    """``df`` with the text replaced by the ``node`` that names its set of shingles, the set's ``size`` and ``keys``."""
+    """``df`` with the text replaced by the ``node`` that names its set of shingles, the set's ``size`` and ``keys`` and its
+    SimHash ``fingerprint``, a signed long; 0 of a set without shingles."""
     bounded_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != text]
     data = df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").cast("binary").alias("_data"))
@@ -78,14 +87,14 @@ def sketches(df: DataFrame, text: str, *, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, keys = [], [], []
+            node, size, keys, prints = [], [], [], []
             for x in batch.column(last):
                 own = shingle_set(x.as_py() or b"", words)
-                node.append(set_name(own)), size.append(len(own)), keys.append(band_keys(own))
-            new = [pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *new], [*batch.schema.names[:last], "node", "size", "keys"])
+                node.append(set_name(own)), size.append(len(own)), keys.append(band_keys(own)), prints.append(majority(own.astype(">u8").tobytes()))
+            new = [pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *new], [*batch.schema.names[:last], "node", "size", "keys", "fingerprint"])
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fingerprint", T.LongType())]
     return data.mapInArrow(releasing(run), T.StructType([*kept, *fields]))
 
 
@@ -107,7 +116,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     found.append((set_name(hashes), hashes.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["node", "hashes"])
 
-    found = texts.mapInArrow(run, "node long, hashes binary")
+    found = texts.mapInArrow(releasing(run), "node long, hashes binary")
     return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -125,26 +134,33 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 ok.append(both >= similarity * (len(a) + len(b) - both) - 1e-6)
             yield batch.select(list(range(last))).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select(*pairs.columns, "a_set", "b_set").mapInArrow(run, pairs.schema)
+    return pairs.join(side("b"), "b").join(side("a"), "a").select(*pairs.columns, "a_set", "b_set").mapInArrow(releasing(run), pairs.schema)
 
 
-def links(own: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def links(own: DataFrame, texts: DataFrame, near: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: edges between sets of similarity ``similarity`` or more.
 
-    ``own`` has a row for each set (node, size, keys, mark); ``texts`` has the texts (mark, data).
+    ``own`` has a row for each set (node, size, keys, mark); ``texts`` has the texts (mark, data); ``near`` has pairs of
+    nodes (a, b) to be compared before those that meet under a key.
     """
     under = own.select(F.explode("keys").alias("key"), "node", "size", "mark")
     shared = under.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     met = written(under.join(shared, "key", "left_semi"), "met")
-    sets = written(_sets(texts, met.select("node", "mark").distinct(), words), "sets")
-    near = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-6
-    standing, found, tried, turn = met.select("key", "node", "size", F.col("node").alias("root")), None, None, 0
+    near = written(near, "near")
+    ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node")))
+    wanted = met.select("node", "mark").union(own.join(ends, "node", "left_semi").select("node", "mark")).distinct()
+    sets = written(_sets(texts, written(wanted, "wanted"), words), "sets")
+    found = written(_similar(near.select("a", "b"), sets, similarity), "links")
+    start = found.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("now"))
+    alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-6
+    standing = written(met.join(start, "node", "left").select("key", "node", "size", F.coalesce("now", "node").alias("root")), "standing")
+    tried, turn = None, 0
     while True:
         hubs = F.array(*(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn), F.lit(k)), "node", "size", "root")) for k in range(min(HUBS << turn, MOST_HUBS))))
         apart = standing.groupBy("key").agg(hubs.alias("hubs"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         chosen = apart.select("key", F.explode(F.array_distinct(F.transform("hubs", lambda h: F.struct(h["node"].alias("b"), h["size"].alias("b_size"), h["root"].alias("b_root"))))).alias("hub"))
         chosen = written(chosen.select("key", "hub.*"), "hubs")
-        pairs = standing.join(chosen, "key").where((F.col("root") != F.col("b_root")) & near(F.col("size"), F.col("b_size")))
+        pairs = standing.join(chosen, "key").where((F.col("root") != F.col("b_root")) & alike(F.col("size"), F.col("b_size")))
         either = lambda a, b: (F.least(a, b), F.greatest(a, b))
         (a, b), (c, d) = either("node", "b"), either("root", "b_root")
         pairs = pairs.select(a.alias("a"), b.alias("b"), c.alias("low"), d.alias("high")).distinct()
@@ -152,7 +168,7 @@ def links(own: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: f
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         new = written(_similar(pairs, sets, similarity), "links")
-        found = new.select("a", "b") if found is None else found.union(new.select("a", "b"))
+        found = found.union(new.select("a", "b"))
         if new.isEmpty():
             return found
         tried, turn = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b")), turn + 1

@@ -46,10 +46,7 @@ def fingerprint_of(data: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) ->
     ends = np.cumsum(sizes) - 1
     starts = (ends + 1 - sizes)[: len(tokens) - words + 1].tolist()
     digest = xxhash.xxh64_digest
-    found = b"".join([digest(text[i:j], seed) for i, j in zip(starts, ends[words - 1 :].tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(found, np.uint8).reshape(-1, 8), axis=1)
-    counts = bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(bits)).tobytes(), "big")
+    return resemblance.majority(b"".join([digest(text[i:j], seed) for i, j in zip(starts, ends[words - 1 :].tolist(), strict=True)]))
 
 
 def fingerprints(df: DataFrame, text: str, *, fingerprint: str = "fingerprint", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -147,15 +144,27 @@ def near_duplicate_classes(df: DataFrame, identifier: str, text: str, *, compone
     return classes(marked, identifier, component=component)
 
 
+def _near_nodes(one: DataFrame) -> DataFrame:
+    """``a, b``: pairs of nodes whose fingerprints differ in ``MAX_BITS`` or fewer, with the components of all such pairs:
+    of each fingerprint the smallest node stands for the others."""
+    firsts = written(one.groupBy("fingerprint").agg(F.min("node").alias("first")), "prints")
+    same = one.join(firsts, "fingerprint").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    by = lambda f, n: firsts.select(F.col("fingerprint").alias(f), F.col("first").alias(n))
+    apart = links(firsts.select("fingerprint")).withColumnsRenamed({"a": "_a", "b": "_b"})
+    return same.union(apart.join(by("_a", "a"), "_a").join(by("_b", "b"), "_b").select("a", "b"))
+
+
 def keep_one(df: DataFrame, identifier: str, text: str, *, words: int = resemblance.WORDS, similarity: float = resemblance.SIMILARITY) -> DataFrame:
     """``df`` with one row of each class of texts linked by a Jaccard similarity of ``similarity`` or more of their
     shingles of ``words`` words: that of the smallest identifier, NULL last, and where that repeats, of the
     smallest hash of the text. One of rows that repeat both stays. Texts without words are one class. The rows
     themselves move once, by their key.
 
-    Fingerprints don't decide here: at similarity 0.8 they differ in about ten bits, and a grid of so wide a
-    radius is no filter. Two sets of similarity 0.8 are missed with probability 0.002, more similar ones less often
-    (see ``resemblance``); no link is made up."""
+    Texts whose SimHash fingerprints, of the same shingles, differ in two bits or fewer are brought together first, by the
+    grid of ``links``. At similarity 0.8 fingerprints differ in about ten bits, and a grid of so wide a radius is no
+    filter: what the fingerprints leave apart is brought together by minwise keys. All that meet are compared whole.
+    Two sets of similarity 0.8 are missed with probability 0.002, more similar ones less often (see
+    ``resemblance``); no link is made up."""
     require(df, identifier, text)
     names = [free_name(n, df.columns) for n in ("_unknown", "_doc", "_mark", "_turn")]
     own = (F.col(f"`{identifier}`").isNull(), F.coalesce(F.col(f"`{identifier}`"), F.lit(0).cast(df.schema[identifier].dataType)), F.xxhash64(F.col(f"`{text}`").cast("string")))
@@ -165,7 +174,8 @@ def keep_one(df: DataFrame, identifier: str, text: str, *, words: int = resembla
     marked = written(resemblance.sketches(plain, "data", words=words), "sketches")
     firsts = written(marked.groupBy("node").agg(F.min(F.struct("unknown", "doc", "mark")).alias("first")), "firsts")
     one = marked.join(firsts.select("node", "first.*"), ["node", "unknown", "doc", "mark"], "left_semi")
-    found = components(resemblance.links(one, plain.select("mark", "data"), words=words, similarity=similarity)).withColumnRenamed("node", "own")
+    near = _near_nodes(one)
+    found = components(resemblance.links(one, plain.select("mark", "data"), near, words=words, similarity=similarity)).withColumnRenamed("node", "own")
     rooted = firsts.join(found, F.col("node") == F.col("own"), "left").withColumn("root", F.coalesce("root", "node"))
     keepers = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{k}").alias(n) for n, k in zip(key, ("unknown", "doc", "mark"), strict=True)))
     once = Window.partitionBy(*key).orderBy(names[2])

@@ -131,6 +131,17 @@ def test_keep_one_equals_brute_force_at_similarity(documents, babble):
     assert kept == set(root.values()) and 20 < len(kept) < len(rows) - 10
 
 
+def test_pipeline_stage_goes_by_fingerprints(documents, spark, babble, monkeypatch):
+    """Without any minwise key, near copies must still meet by their SimHash, and be compared whole."""
+    import corpus_pipeline
+
+    long = babble(4, 3000).split()
+    rows = [(4, " ".join(long)), (31, " ".join([*long, "more"])), (5, babble(5, 70)), (6, babble(5, 70).upper())]
+    own = simhash.resemblance.sketches
+    monkeypatch.setattr(simhash.resemblance, "sketches", lambda *a, **k: own(*a, **k).withColumn("keys", F.array().cast("array<long>")))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()} == {4, 5}
+
+
 def test_pipeline_stage_drops_a_copy_with_a_word_more(documents, spark, babble):
     import corpus_pipeline
 
